@@ -54,10 +54,26 @@ def regex_ranges(ranges: list[tuple[int, int]]) -> str:
     )
 
 
+def fast_class(ranges: list[tuple[int, int]]) -> str:
+    """A Java character class that rejects ordinary text after one or two comparisons.
+
+    A plain union tests every range for every ordinary character. Here plain ASCII is ruled
+    out first, then the ranges are tested only inside their own block.
+    """
+    cuts = [0x0, 0x100, 0x2000, 0x2100, 0xE000, 0x110000]
+    blocks = []
+    for lo, hi in zip(cuts, cuts[1:]):
+        inside = [(max(a, lo), min(b, hi - 1)) for a, b in ranges if a < hi and b >= lo]
+        if inside:
+            blocks.append(f"[\\x{{{lo:X}}}-\\x{{{hi - 1:X}}}&&[{regex_ranges(inside)}]]")
+    # The negation needs its own brackets: in front of `&&` it would negate the intersection.
+    return f"[[^\\t\\n\\r -~]&&[{''.join(blocks)}]]"
+
+
 ALL_RANGES = sorted(r for _, _, ranges in CHAR_CLASSES for r in ranges)
-SUSPICIOUS = f"[{regex_ranges(ALL_RANGES)}]"
+SUSPICIOUS = fast_class(ALL_RANGES)
 SUSPICIOUS_RUN = SUSPICIOUS + "+"
-CARRIER = f"[{regex_ranges(CARRIER_RANGES)}]"
+CARRIER = fast_class(CARRIER_RANGES)
 
 # Code points that have a Unicode name; everything else prints as UNNAMED.
 NAMED_CODEPOINTS = {
@@ -67,7 +83,19 @@ NAMED_CODEPOINTS = {
     for cp in range(lo, hi + 1)
     if unicodedata.name(chr(cp), None)
 }
-_NAMES_LITERAL = ";".join(f"{cp}:{name}" for cp, name in sorted(NAMED_CODEPOINTS.items()))
+_NAMES_LITERAL = ";".join(name for _, name in sorted(NAMED_CODEPOINTS.items()))
+
+
+def _name_places() -> list[tuple[int, int, int]]:
+    """Contiguous stretches of named code points: first, last, place of the first name."""
+    stretches: list[tuple[int, int, int]] = []
+    for place, cp in enumerate(sorted(NAMED_CODEPOINTS)):
+        if stretches and stretches[-1][1] == cp - 1:
+            first, _, start = stretches[-1]
+            stretches[-1] = (first, cp, start)
+        else:
+            stretches.append((cp, cp, place))
+    return stretches
 
 
 def char_class(char: Column) -> Column:
@@ -115,8 +143,11 @@ def is_suspicious(text: Column) -> Column:
 
 def char_name(cp: Column) -> Column:
     """`U+XXXX NAME`, with UNNAMED where Unicode defines no name."""
-    names = F.str_to_map(F.lit(_NAMES_LITERAL), F.lit(";"), F.lit(":"))
-    name = F.coalesce(F.try_element_at(names, cp.cast("string")), F.lit("UNNAMED"))
+    place = F.lit(None).cast("int")
+    for first, last, start in _name_places():
+        place = F.when(cp.between(first, last), cp - (first - start)).otherwise(place)
+    # Splitting a literal is folded into an array literal when Spark optimizes the plan.
+    name = F.coalesce(F.get(F.split(F.lit(_NAMES_LITERAL), ";"), place), F.lit("UNNAMED"))
     return F.format_string("U+%04X %s", cp, name)
 
 
@@ -127,7 +158,8 @@ def codepoint_dim(spark: SparkSession) -> DataFrame:
 
 def clean_text(text: Column) -> Column:
     """The text without any suspicious character; tab, newline and carriage return stay."""
-    return F.regexp_replace(text, SUSPICIOUS_RUN, "")
+    cleaned = F.regexp_replace(text, SUSPICIOUS_RUN, "")
+    return F.when(is_suspicious(text), cleaned).otherwise(text)
 
 
 def removed_chars(text: Column) -> Column:

@@ -1,19 +1,25 @@
 """Regular-expression matches with exact positions, built from Spark functions only.
 
 Spark has no function that returns match offsets in code points. `located` derives them from
-`regexp_extract_all` (the matches) and `split` (the texts between them): both are laid out in
-one array in which every unit (a character, or a newline) takes one slot and so does every
-match. A match's slot number minus the number of matches before it is its offset, which needs
-one pass and no running sum.
+`regexp_extract_all` (the matches) and `split` (the texts between them), in one of two ways:
+
+* a few matches: the offset of each is the sum of the sizes in front of it;
+* many matches, where such sums would be quadratic: all pieces are laid out in one array in
+  which every unit (a character, or a newline) takes one slot and so does every match. A
+  match's slot number minus the number of matches before it is its offset.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Up to here, adding sizes up is cheaper than laying pieces out.
+FEW_MATCHES = 16
+
 # The characters that count as white space and as word characters in the
 # patterns, spelled out because Java's own \s, \w and \b mean something else.
 SPACE_CHARS = (
@@ -46,9 +52,13 @@ def numbered_lines(text: Column) -> Column:
     )
 
 
-def lines_matching(text: Column, pattern: str) -> Column:
-    """Numbered lines that contain a match of `pattern`."""
-    return F.filter(numbered_lines(text), lambda row: row.s.rlike(pattern))
+def lines_matching(text: Column, *patterns: str) -> Column:
+    """Numbered lines that contain a match of every pattern; put the cheapest first."""
+
+    def every(row: Column) -> Column:
+        return reduce(lambda a, b: a & b, [row.s.rlike(p) for p in patterns])
+
+    return F.filter(numbered_lines(text), every)
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -56,42 +66,68 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def located(text: Column, pattern: str, units: Callable[[Column], Column]) -> Column:
-    """`array<struct<i, at, m>>`: match number, 1-based position in `units`, matched text.
+def _summed(found: Column, gaps: Column, units: Callable[[Column], Column]) -> Column:
+    """Positions by adding up what lies in front of each match."""
 
-    `units` counts the units in a piece of text: `F.length` gives character positions,
-    `newline_count` gives line numbers. `pattern` must not match the empty string.
-    """
+    def total(pieces: Column, count: Column) -> Column:
+        return F.aggregate(F.slice(pieces, F.lit(1), count), F.lit(0), lambda acc, p: acc + units(p))
+
+    return F.transform(
+        found,
+        lambda m, i: F.struct(
+            i.cast("int").alias("i"),
+            (total(gaps, i + 1) + total(found, i) + 1).alias("at"),
+            m.alias("m"),
+        ),
+    )
+
+
+def _laid_out(found: Column, gaps: Column, units: Callable[[Column], Column]) -> Column:
+    """Positions by laying all pieces out in slots; linear in the size of the text."""
     slot = "struct<i:int,m:string>"
 
     def blanks(n: Column) -> Column:
         return F.array_repeat(F.lit(None).cast(slot), n)
 
-    def lay_out(found: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                F.split(text, pattern, -1),
-                lambda gap, i: F.when(
-                    i < F.size(found),
-                    let(
-                        F.get(found, i),
-                        lambda m: F.concat(
-                            blanks(units(gap)),
-                            F.array(F.struct(i.cast("int").alias("i"), m.alias("m"))),
-                            blanks(units(m)),
-                        ),
+    slots = F.flatten(
+        F.transform(
+            gaps,
+            lambda gap, i: F.when(
+                i < F.size(found),
+                let(
+                    F.get(found, i),
+                    lambda m: F.concat(
+                        blanks(units(gap)),
+                        F.array(F.struct(i.cast("int").alias("i"), m.alias("m"))),
+                        blanks(units(m)),
                     ),
-                ).otherwise(F.array().cast(f"array<{slot}>")),
-            )
+                ),
+            ).otherwise(F.array().cast(f"array<{slot}>")),
         )
-
+    )
     placed = F.transform(
-        let(matches(text, pattern), lay_out),
-        lambda s, pos: F.struct(s.i.alias("i"), (pos - s.i + 1).alias("at"), s.m.alias("m")),
+        slots, lambda s, pos: F.struct(s.i.alias("i"), (pos - s.i + 1).alias("at"), s.m.alias("m"))
     )
     return F.filter(placed, lambda x: x.i.isNotNull())
 
 
+def located(text: Column, pattern: str, units: Callable[[Column], Column]) -> Column:
+    """`array<struct<i, at, m>>`: match number, 1-based position in `units`, matched text.
+
+    `units` counts the units in a piece of text: `F.length` gives character positions,
+    `newline_count` gives line numbers. `pattern` must not match the empty string.
+    """
+    return let(
+        matches(text, pattern),
+        lambda found: let(
+            F.split(text, pattern, -1),
+            lambda gaps: F.when(
+                F.size(found) <= FEW_MATCHES, _summed(found, gaps, units)
+            ).otherwise(_laid_out(found, gaps, units)),
+        ),
+    )
+
+
 def matches_by_line(lines: Column, pattern: str) -> Column:
     """`array<struct<line, m>>` in numbered lines, for a pattern that cannot span a newline."""
     return F.flatten(

@@ -23,8 +23,9 @@ MIN_DECODED = 3
 DETAIL_SHOWN = 160
 DECODED_KEPT = 200
 
-# Any match of either shape contains such a run; the look-behind tests each run only once.
-_LONG_RUN = "(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20}"
+# Any match of either shape contains such a run. The look-behind (a run's first character
+# does not follow a lower-case letter) and the look-ahead only skip hopeless positions.
+_LONG_RUN = "(?<![a-z])(?=[^ ]{20})[a-zA-Z/-9+]{20}"
 
 
 def decode_base64(token: Column) -> Column:

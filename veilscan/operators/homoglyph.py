@@ -21,12 +21,12 @@ ESCAPE = (
 
 _LETTERS = r"\p{L}\p{Nl}\p{No}"
 _WORD = f"[{_LETTERS}]{{2,}}"
-# Some word character of one script followed, inside the same word, by one of another script.
+# A letter of one script, then, inside the same word, one of another script. The letters in
+# between belong to no script; the cheap exclusion comes first, before the property lookup.
+_OTHER = f"[[^{''.join(SCRIPTS.values())}]&&[{_LETTERS}]]"
 _MIXED = "|".join(
-    f"[{SCRIPTS[a]}][{_LETTERS}&&[^{''.join(SCRIPTS.values())}]]*[{SCRIPTS[b]}]"
-    for a in SCRIPTS
-    for b in SCRIPTS
-    if a != b
+    f"[{chars}]{_OTHER}*+[{''.join(c for n, c in SCRIPTS.items() if n != name)}]"
+    for name, chars in SCRIPTS.items()
 )
 _FOREIGN = r"[\x{370}-\x{4FF}]"
 
@@ -87,5 +87,5 @@ def homoglyph_findings(text: Column) -> Column:
             ),
         )
 
-    found = F.flatten(F.transform(lines_matching(text, _MIXED), on_line))
+    found = F.flatten(F.transform(lines_matching(text, _FOREIGN, _MIXED), on_line))
     return F.when(text.rlike(_FOREIGN) & text.rlike(_MIXED), found).otherwise(no_findings())

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
 import warnings
 
@@ -81,6 +82,13 @@ _FACTS = pa.struct(
 # Only calls that some rule can report leave the worker.
 _WATCHED_NAMES = frozenset(DANGEROUS_CALLS + NETWORK_CALLS + OS_SHELL_CALLS + SHELL_RUNNERS)
 _WATCHED_ROOTS = frozenset(NETWORK_MODULES)
+# A text in plain ASCII without any of these words has no fact to report besides its errors
+# and comments. (Identifiers in other alphabets may be normalized to one of the names.)
+_WATCHED_WORDS = re.compile(
+    rf"\b(?:{'|'.join(sorted({*_WATCHED_NAMES, *_WATCHED_ROOTS, *SENSITIVE_IMPORTS}))})\b"
+)
+# Nodes that cannot contain a call or an import.
+_LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.unaryop, ast.cmpop, ast.boolop)
 
 
 def _printable(text: str) -> str:
@@ -125,29 +133,37 @@ def _call_fact(call: ast.Call) -> dict | None:
     return fact
 
 
+def _inner_nodes(node: ast.AST) -> list[ast.AST]:
+    found = []
+    for name in node._fields:
+        value = getattr(node, name, None)
+        found += value if isinstance(value, list) else (value,)
+    return [n for n in found if isinstance(n, ast.AST) and not isinstance(n, _LEAVES)]
+
+
 def _tree_facts(text: str) -> dict:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            tree = ast.parse(text)
-        except SyntaxError as error:
-            return {"syntax_line": error.lineno, "syntax_error": _printable(str(error.msg))}
-        except (ValueError, RecursionError, MemoryError) as error:
-            return {"failure": f"{type(error).__name__}: {error}"}
-    calls, imports, pending = [], [], [tree]
+    try:
+        tree = ast.parse(text)
+    except SyntaxError as error:
+        return {"syntax_line": error.lineno, "syntax_error": _printable(str(error.msg))}
+    except (ValueError, RecursionError, MemoryError) as error:
+        return {"failure": f"{type(error).__name__}: {error}"}
+    if text.isascii() and not _WATCHED_WORDS.search(text):
+        return {}
+    calls, roots, pending = [], [], [tree]
     while pending:  # source order, without recursion on deeply nested code
         node = pending.pop()
         if isinstance(node, ast.Call):
-            fact = _call_fact(node)
-            if fact:
-                calls.append(fact)
+            calls.append(_call_fact(node))
         elif isinstance(node, ast.Import):
-            imports += [(node.lineno, alias.name) for alias in node.names]
+            roots += [(node.lineno, alias.name.partition(".")[0]) for alias in node.names]
         elif isinstance(node, ast.ImportFrom) and node.module:
-            imports.append((node.lineno, node.module))
-        pending += reversed(list(ast.iter_child_nodes(node)))
-    roots = [{"line": line, "root": module.partition(".")[0]} for line, module in imports]
-    return {"calls": calls, "imports": [r for r in roots if r["root"] in SENSITIVE_IMPORTS]}
+            roots.append((node.lineno, node.module.partition(".")[0]))
+        pending += reversed(_inner_nodes(node))
+    return {
+        "calls": [c for c in calls if c],
+        "imports": [{"line": line, "root": r} for line, r in roots if r in SENSITIVE_IMPORTS],
+    }
 
 
 def _comments(text: str) -> list[dict]:
@@ -163,17 +179,16 @@ def _comments(text: str) -> list[dict]:
 
 
 def _facts(texts: pa.Array, with_comments: pa.Array) -> pa.Array:
-    rows = []
-    for text, wanted in zip(texts, with_comments):
-        source = text.as_py()
-        if source is None:
-            rows.append(None)
-        else:
-            comments = _comments(source) if wanted.as_py() else []
-            rows.append(
-                {"calls": [], "imports": [], "comments": comments, **_tree_facts(source)}
-            )
-    return pa.array(rows, type=_FACTS)
+    def read(text: str | None, wanted: bool) -> dict | None:
+        if text is None:
+            return None
+        comments = _comments(text) if wanted else []
+        return {"calls": [], "imports": [], "comments": comments, **_tree_facts(text)}
+
+    with warnings.catch_warnings():  # sources may warn about their own escapes
+        warnings.simplefilter("ignore")
+        rows = map(read, texts.to_pylist(), with_comments.to_pylist())
+        return pa.array(list(rows), type=_FACTS)
 
 
 def code_facts(text: Column, with_comments: Column | None = None) -> Column:

@@ -22,38 +22,39 @@ from veilscan.functions.matching import (
 from veilscan.functions.text import mask_secret, shannon_entropy
 from veilscan.model import finding, no_findings
 
-# Fixed values: (name, pattern, severity); the last entry is a text every match contains.
+# Fixed values: (name, pattern, severity).
 SECRET_PATTERNS = [
-    ("aws_key", rf"{WORD_START}AKIA[0-9A-Z]{{16}}{WORD_END}", "critical", "AKIA"),
-    (
-        "telegram_token",
-        rf"{WORD_START}\p{{Nd}}{{8,10}}:[A-Za-z0-9_-]{{35}}{BOUNDARY}",
-        "critical",
-        ":",
-    ),
-    (
-        "stripe_live",
-        rf"{WORD_START}(?:sk|rk)_live_[0-9a-zA-Z]{{16,}}{WORD_END}",
-        "critical",
-        "k_live_",
-    ),
-    ("github_token", rf"{WORD_START}gh[pousr]_[0-9A-Za-z]{{36}}{WORD_END}", "critical", "gh"),
-    ("github_pat", rf"{WORD_START}github_pat_[0-9A-Za-z_]{{60,}}{WORD_END}", "critical", "github_pat_"),
-    ("google_api", rf"{WORD_START}AIza[0-9A-Za-z_\-]{{35}}{BOUNDARY}", "high", "AIza"),
-    ("slack_token", rf"{WORD_START}xox[baprs]-[0-9A-Za-z-]{{10,}}{BOUNDARY}", "high", "xox"),
+    ("aws_key", rf"{WORD_START}AKIA[0-9A-Z]{{16}}{WORD_END}", "critical"),
+    ("telegram_token", rf"{WORD_START}\p{{Nd}}{{8,10}}:[A-Za-z0-9_-]{{35}}{BOUNDARY}", "critical"),
+    ("stripe_live", rf"{WORD_START}(?:sk|rk)_live_[0-9a-zA-Z]{{16,}}{WORD_END}", "critical"),
+    ("github_token", rf"{WORD_START}gh[pousr]_[0-9A-Za-z]{{36}}{WORD_END}", "critical"),
+    ("github_pat", rf"{WORD_START}github_pat_[0-9A-Za-z_]{{60,}}{WORD_END}", "critical"),
+    ("google_api", rf"{WORD_START}AIza[0-9A-Za-z_\-]{{35}}{BOUNDARY}", "high"),
+    ("slack_token", rf"{WORD_START}xox[baprs]-[0-9A-Za-z-]{{10,}}{BOUNDARY}", "high"),
     (
         "private_key",
         "-----BEGIN (?:RSA |EC |OPENSSH |DSA |PGP )?PRIVATE KEY-----",
         "critical",
-        "PRIVATE KEY-----",
     ),
     (
         "jwt",
         rf"{WORD_START}eyJ[A-Za-z0-9_\-]+\.eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+{BOUNDARY}",
         "medium",
-        "eyJ",
     ),
 ]
+# What every match contains, as a literal or, failing that, as a cheap pattern. Most texts are
+# done after these tests.
+_HINTS = {
+    "aws_key": "AKIA",
+    "telegram_token": re.compile(":[A-Za-z0-9_-]{35}"),
+    "stripe_live": "k_live_",
+    "github_token": re.compile("gh[pousr]_[0-9A-Za-z]{36}"),
+    "github_pat": "github_pat_",
+    "google_api": "AIza",
+    "slack_token": "xox",
+    "private_key": "PRIVATE KEY-----",
+    "jwt": "eyJ",
+}
 # Key names of a generic assignment, and values that are mere placeholders.
 _KEYS = (
     "api[_-]?key|secret[_-]?key|secret|token|passwd|password|pwd|"
@@ -72,11 +73,17 @@ ASSIGNMENT = f"(?iu){WORD_START}({_KEYS}){WORD_END}{SPACE}*[:=]{SPACE}*{_VALUE}"
 _ASSIGNMENT_TAIL = f"[:=]{SPACE}*{_VALUE}"
 
 
+def may_hold(text: Column, name: str) -> Column:
+    """Cheap necessary condition for a match of a token shape."""
+    hint = _HINTS[name]
+    return text.contains(hint) if isinstance(hint, str) else text.rlike(hint.pattern)
+
+
 def token_findings(text: Column, *names: str) -> Column:
     """Matches of the named token shapes (default: all), in table order; overlaps are kept."""
     hit = "array<struct<line:int,m:string,name:string,severity:string>>"
 
-    def hits(lines: Column, name: str, pattern: str, severity: str, literal: str) -> Column:
+    def hits(lines: Column, name: str, pattern: str, severity: str) -> Column:
         found = F.transform(
             matches_by_line(lines, pattern),
             lambda x: F.struct(
@@ -86,7 +93,7 @@ def token_findings(text: Column, *names: str) -> Column:
                 F.lit(severity).alias("severity"),
             ),
         )
-        return F.when(text.contains(literal), found).otherwise(F.array().cast(hit))
+        return F.when(may_hold(text, name), found).otherwise(F.array().cast(hit))
 
     chosen = [p for p in SECRET_PATTERNS if not names or p[0] in names]
     found = let(
@@ -104,7 +111,7 @@ def token_findings(text: Column, *names: str) -> Column:
             secret_type=x["name"],
         ),
     )
-    worth = reduce(lambda a, b: a | b, [text.contains(p[3]) for p in chosen])
+    worth = reduce(lambda a, b: a | b, [may_hold(text, p[0]) for p in chosen])
     return F.when(worth, findings).otherwise(no_findings())
 
 
