@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.functions.matching import matches
+from veilscan.functions.matching import let, matches
 from veilscan.model import SEVERITY_RANK
 
 # Fixed values: (category, severity, inclusive code point ranges); the first match wins.
@@ -83,10 +83,16 @@ NAMED_CODEPOINTS = {
     for cp in range(lo, hi + 1)
     if unicodedata.name(chr(cp), None)
 }
-_NAMES_LITERAL = ";".join(name for _, name in sorted(NAMED_CODEPOINTS.items()))
+_NAMES = ";".join(name for _, name in sorted(NAMED_CODEPOINTS.items()))
 
 
-def _name_places() -> list[tuple[int, int, int]]:
+def _range_table(ranges: list[tuple[int, int, int]]) -> str:
+    """SQL of an array literal of ranges `(first, last, number)`."""
+    rows = [f"struct({a} AS first, {b} AS last, {n} AS number)" for a, b, n in ranges]
+    return f"array({', '.join(rows)})"
+
+
+def _name_stretches() -> list[tuple[int, int, int]]:
     """Contiguous stretches of named code points: first, last, place of the first name."""
     stretches: list[tuple[int, int, int]] = []
     for place, cp in enumerate(sorted(NAMED_CODEPOINTS)):
@@ -98,40 +104,53 @@ def _name_places() -> list[tuple[int, int, int]]:
     return stretches
 
 
-def char_class(char: Column) -> Column:
-    """Position in `CHAR_CLASSES` of a single character, NULL when it is an ordinary one."""
-    result = F.lit(None).cast("int")
-    for number in reversed(range(len(CHAR_CLASSES))):
-        inside = char.rlike(f"[{regex_ranges(CHAR_CLASSES[number][2])}]")
-        result = F.when(inside, number).otherwise(result)
-    return result
+_CLASS_TABLE = _range_table(
+    [(a, b, number) for number, (_, _, ranges) in enumerate(CHAR_CLASSES) for a, b in ranges]
+)
+_NAME_TABLE = _range_table(_name_stretches())
+_CATEGORIES = "array(" + ", ".join(f"'{category}'" for category, _, _ in CHAR_CLASSES) + ")"
+_SEVERITIES = "array(" + ", ".join(f"'{severity}'" for _, severity, _ in CHAR_CLASSES) + ")"
+_RANKS = "array(" + ", ".join(str(SEVERITY_RANK[s]) for _, s, _ in CHAR_CLASSES) + ")"
+
+
+def _stretch(cp: Column, table: str) -> Column:
+    """Row of a range table a code point falls into, NULL when there is none."""
+    return F.get(F.filter(F.expr(table), lambda r: cp.between(r.first, r.last)), F.lit(0))
+
+
+def char_class(cp: Column) -> Column:
+    """Position in `CHAR_CLASSES` of a code point, NULL when it is an ordinary character."""
+    return _stretch(cp, _CLASS_TABLE).number
 
 
 def class_category(number: Column) -> Column:
     """Category of a character class."""
-    return F.get(F.array(*[F.lit(category) for category, _, _ in CHAR_CLASSES]), number)
+    return F.get(F.expr(_CATEGORIES), number)
 
 
 def class_severity(number: Column) -> Column:
     """Severity of a character class."""
-    return F.get(F.array(*[F.lit(severity) for _, severity, _ in CHAR_CLASSES]), number)
+    return F.get(F.expr(_SEVERITIES), number)
 
 
 def class_rank(number: Column) -> Column:
     """Severity rank of a character class."""
-    ranks = [SEVERITY_RANK[severity] for _, severity, _ in CHAR_CLASSES]
-    return F.get(F.array(*[F.lit(rank) for rank in ranks]), number)
+    return F.get(F.expr(_RANKS), number)
 
 
 def classify(text: Column) -> Column:
     """Suspicious characters of a text as `array<struct<char, cp, category, severity>>`."""
-    return F.transform(
+    classed = F.transform(
         matches(text, SUSPICIOUS),
-        lambda ch: F.struct(
-            ch.alias("char"),
-            F.ascii(ch).alias("cp"),
-            class_category(char_class(ch)).alias("category"),
-            class_severity(char_class(ch)).alias("severity"),
+        lambda ch: F.struct(ch.alias("char"), F.ascii(ch).alias("cp"), char_class(F.ascii(ch)).alias("n")),
+    )
+    return F.transform(
+        classed,
+        lambda c: F.struct(
+            c.char.alias("char"),
+            c.cp.alias("cp"),
+            class_category(c.n).alias("category"),
+            class_severity(c.n).alias("severity"),
         ),
     )
 
@@ -143,12 +162,13 @@ def is_suspicious(text: Column) -> Column:
 
 def char_name(cp: Column) -> Column:
     """`U+XXXX NAME`, with UNNAMED where Unicode defines no name."""
-    place = F.lit(None).cast("int")
-    for first, last, start in _name_places():
-        place = F.when(cp.between(first, last), cp - (first - start)).otherwise(place)
-    # Splitting a literal is folded into an array literal when Spark optimizes the plan.
-    name = F.coalesce(F.get(F.split(F.lit(_NAMES_LITERAL), ";"), place), F.lit("UNNAMED"))
-    return F.format_string("U+%04X %s", cp, name)
+
+    def name(stretch: Column) -> Column:
+        # Splitting a literal is folded into an array literal when Spark optimizes the plan.
+        names = F.split(F.lit(_NAMES), ";")
+        return F.coalesce(F.get(names, cp - stretch.first + stretch.number), F.lit("UNNAMED"))
+
+    return F.format_string("U+%04X %s", cp, let(_stretch(cp, _NAME_TABLE), name))
 
 
 def codepoint_dim(spark: SparkSession) -> DataFrame:

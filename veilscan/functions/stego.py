@@ -43,17 +43,14 @@ def carriers(text: Column) -> Column:
     return matches(text, LONG_CARRIER)
 
 
-def scheme_table() -> Column:
-    """The schemes as `array<struct<scheme, alphabet, width>>`; width is bits per symbol."""
-    rows = [
-        F.struct(
-            F.lit(name).alias("scheme"),
-            F.lit(alphabet).alias("alphabet"),
-            F.lit(len(alphabet).bit_length() - 1).alias("width"),
-        )
+# The schemes as an array literal `(scheme, alphabet, width)`; width is bits per symbol.
+_SCHEME_TABLE = "array({})".format(
+    ", ".join(
+        f"struct('{name}' AS scheme, '{alphabet}' AS alphabet, "
+        f"{len(alphabet).bit_length() - 1} AS width)"
         for name, alphabet in SCHEMES
-    ]
-    return F.array(*rows)
+    )
+)
 
 
 def decode_scheme(carrier: Column, alphabet: Column, width: Column) -> Column:
@@ -81,7 +78,7 @@ def decode_carrier(carrier: Column, marks: MarkStyle = DEFAULT_MARKS) -> Column:
     (the earlier scheme on a tie).
     """
     decoded = F.transform(
-        scheme_table(),
+        F.expr(_SCHEME_TABLE),
         lambda s: F.struct(
             decode_scheme(carrier, s.alphabet, s.width).alias("payload"), s.scheme.alias("scheme")
         ),

@@ -50,16 +50,18 @@ FINDING_TYPE = (
 FINDINGS_TYPE = f"array<{FINDING_TYPE}>"
 
 
+_RANKS = "map(" + ", ".join(f"'{k}', {v}Y" for k, v in SEVERITY_RANK.items()) + ")"
+_NAMES = "array(" + ", ".join(f"'{k}'" for k in SEVERITY_RANK) + ")"
+
+
 def severity_rank(severity: Column) -> Column:
     """Rank of a severity name; severities compare by rank, never as strings."""
-    pairs = [F.lit(x) for pair in SEVERITY_RANK.items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), severity).cast("tinyint")
+    return F.try_element_at(F.expr(_RANKS), severity)
 
 
 def severity_name(rank: Column) -> Column:
     """Severity name of a rank (`info` when there is none)."""
-    names = F.array(*[F.lit(name) for name in SEVERITY_RANK])
-    return F.get(names, F.coalesce(rank, F.lit(0)).cast("int"))
+    return F.coalesce(F.get(F.expr(_NAMES), rank.cast("int")), F.lit("info"))
 
 
 def status_of(max_rank: Column) -> Column:
@@ -70,10 +72,11 @@ def status_of(max_rank: Column) -> Column:
 
 
 def _typed(value: Column | str | int | None, kind: str) -> Column:
-    """A column of the given type; plain values become literals."""
-    if value is None:
-        return F.expr(f"CAST(NULL AS {kind})")
-    return (value if isinstance(value, Column) else F.lit(value)).cast(kind)
+    """A column of the given type; columns are taken to have it, plain values become literals."""
+    if isinstance(value, Column):
+        return value
+    literal = "NULL" if value is None else f"'{value}'"
+    return F.expr(f"CAST({literal} AS {kind})")
 
 
 def finding(
@@ -107,4 +110,4 @@ def finding(
 
 def no_findings() -> Column:
     """An empty, correctly typed findings array."""
-    return F.array().cast(FINDINGS_TYPE)
+    return F.expr(f"CAST(array() AS {FINDINGS_TYPE})")

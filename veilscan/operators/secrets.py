@@ -15,7 +15,6 @@ from veilscan.functions.matching import (
     WORD_START,
     let,
     located,
-    matches_by_line,
     newline_count,
     numbered_lines,
 )
@@ -42,19 +41,23 @@ SECRET_PATTERNS = [
         "medium",
     ),
 ]
-# What every match contains, as a literal or, failing that, as a cheap pattern. Most texts are
-# done after these tests.
-_HINTS = {
+# What every match contains: a literal, and for two shapes a cheap pattern that says more.
+# Most texts are done after these tests.
+_LITERALS = {
     "aws_key": "AKIA",
-    "telegram_token": re.compile(":[A-Za-z0-9_-]{35}"),
+    "telegram_token": ":",
     "stripe_live": "k_live_",
-    "github_token": re.compile("gh[pousr]_[0-9A-Za-z]{36}"),
+    "github_token": "gh",
     "github_pat": "github_pat_",
     "google_api": "AIza",
     "slack_token": "xox",
     "private_key": "PRIVATE KEY-----",
     "jwt": "eyJ",
 }
+_HINTS = {
+    "telegram_token": ":[A-Za-z0-9_-]{35}",
+    "github_token": "gh[pousr]_[0-9A-Za-z]{36}",
+}
 # Key names of a generic assignment, and values that are mere placeholders.
 _KEYS = (
     "api[_-]?key|secret[_-]?key|secret|token|passwd|password|pwd|"
@@ -75,43 +78,63 @@ _ASSIGNMENT_TAIL = f"[:=]{SPACE}*{_VALUE}"
 
 def may_hold(text: Column, name: str) -> Column:
     """Cheap necessary condition for a match of a token shape."""
-    hint = _HINTS[name]
-    return text.contains(hint) if isinstance(hint, str) else text.rlike(hint.pattern)
+    literal = text.contains(_LITERALS[name])
+    return literal & text.rlike(_HINTS[name]) if name in _HINTS else literal
+
+
+def _shape_table(names: tuple[str, ...]) -> Column:
+    """The chosen token shapes as an array literal `(name, pattern, severity, literal)`."""
+    rows = [
+        F.struct(
+            F.lit(name).alias("name"),
+            F.lit(pattern).alias("pattern"),
+            F.lit(severity).alias("severity"),
+            F.lit(_LITERALS[name]).alias("literal"),
+        )
+        for name, pattern, severity in SECRET_PATTERNS
+        if not names or name in names
+    ]
+    return F.array(*rows)
 
 
 def token_findings(text: Column, *names: str) -> Column:
     """Matches of the named token shapes (default: all), in table order; overlaps are kept."""
-    hit = "array<struct<line:int,m:string,name:string,severity:string>>"
-
-    def hits(lines: Column, name: str, pattern: str, severity: str) -> Column:
-        found = F.transform(
-            matches_by_line(lines, pattern),
-            lambda x: F.struct(
-                x.line.alias("line"),
-                x.m.alias("m"),
-                F.lit(name).alias("name"),
-                F.lit(severity).alias("severity"),
-            ),
+
+    # Shapes outside, lines inside: Spark compiles a pattern again only when it changes.
+    def hits(lines: Column, shape: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                lines,
+                lambda row: F.transform(
+                    F.regexp_extract_all(row.s, shape.pattern, F.lit(0)),
+                    lambda m: F.struct(row.line.alias("line"), m.alias("m"), shape.alias("shape")),
+                ),
+            )
         )
-        return F.when(may_hold(text, name), found).otherwise(F.array().cast(hit))
 
-    chosen = [p for p in SECRET_PATTERNS if not names or p[0] in names]
     found = let(
-        numbered_lines(text), lambda lines: F.concat(*[hits(lines, *p) for p in chosen])
+        numbered_lines(text),
+        lambda lines: F.flatten(
+            F.transform(
+                F.filter(_shape_table(names), lambda shape: text.contains(shape.literal)),
+                lambda shape: hits(lines, shape),
+            )
+        ),
     )
     findings = F.transform(
         found,
         lambda x: finding(
             "secret",
-            x.severity,
-            F.concat(F.lit("secret."), x["name"]),
+            x.shape.severity,
+            F.concat(F.lit("secret."), x.shape["name"]),
             line=x.line,
             detail=mask_secret(x.m),
             rec_key="rec.secret",
-            secret_type=x["name"],
+            secret_type=x.shape["name"],
         ),
     )
-    worth = reduce(lambda a, b: a | b, [may_hold(text, p[0]) for p in chosen])
+    chosen = [p[0] for p in SECRET_PATTERNS if not names or p[0] in names]
+    worth = reduce(lambda a, b: a | b, [may_hold(text, name) for name in chosen])
     return F.when(worth, findings).otherwise(no_findings())
 
 

@@ -36,15 +36,14 @@ PAYLOAD_SHOWN = 200
 
 
 def _run_finding(line: Column, column: Column, run: Column) -> Column:
-    # A run's severity, categories and names depend on its distinct characters only; sorting
-    # them as strings sorts them by code point.
+    # A run's severity, categories and names depend on its distinct characters only.
     size = F.length(run)
 
-    def describe(chars: Column, classes: Column) -> Column:
+    def describe(cps: Column, classes: Column) -> Column:
         single = size == 1
         category = class_category(F.get(classes, F.lit(0)))
         names = F.array_join(
-            F.transform(F.slice(chars, 1, NAMES_SHOWN), lambda ch: char_name(F.ascii(ch))), ", "
+            F.transform(F.slice(cps, 1, NAMES_SHOWN), char_name), ", "
         )
         return finding(
             F.concat(F.lit("unicode_"), F.when(single, category).otherwise("run")),
@@ -58,7 +57,7 @@ def _run_finding(line: Column, column: Column, run: Column) -> Column:
                     size.cast("string"),
                     F.lit(" · "),
                     names,
-                    F.when(F.size(chars) > NAMES_SHOWN, " …").otherwise(""),
+                    F.when(F.size(cps) > NAMES_SHOWN, " …").otherwise(""),
                 )
             ),
             rec_key=F.when(single & (category == "emoji_selector"), "rec.emoji").otherwise(
@@ -70,14 +69,12 @@ def _run_finding(line: Column, column: Column, run: Column) -> Column:
             categories=F.when(
                 ~single, F.array_sort(F.array_distinct(F.transform(classes, class_category)))
             ),
-            codepoints=F.when(~single, F.transform(chars, F.ascii)),
+            codepoints=F.when(~single, cps),
         )
 
     return let(
-        F.array_sort(F.array_distinct(F.split(run, ""))),
-        lambda chars: let(
-            F.transform(chars, char_class), lambda classes: describe(chars, classes)
-        ),
+        F.array_sort(F.transform(F.array_distinct(F.split(run, "")), F.ascii)),
+        lambda cps: let(F.transform(cps, char_class), lambda classes: describe(cps, classes)),
     )
 
 
