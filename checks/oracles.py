@@ -15,10 +15,15 @@ from checks.planted import (
     OWN_MARK,
     PLANTED_TEXT,
     SECRET_NAMES,
+    SOURCES,
     SUFFIX_LINE,
 )
 
-BASE = f"planted AS (SELECT doc_id AS id, {PLANTED_TEXT} AS text, {SUFFIX_LINE} AS start FROM documents)"
+
+
+def base(table: str) -> str:
+    return f"planted AS (SELECT doc_id AS id, {PLANTED_TEXT} AS text, {SUFFIX_LINE} AS start FROM ({SOURCES[table]}))"
+
 
 # Expected values, written out: class of a code point, rank of a severity, names in use.
 CATEGORY = """CASE
@@ -199,8 +204,8 @@ REPORT = """report AS (SELECT p.id, count(r.rank)::INTEGER AS n_findings, (count
   CASE WHEN top >= 3 THEN 'red' WHEN top >= 1 THEN 'yellow' ELSE 'green' END AS status FROM report)"""
 
 
-def on_docs(select: str, *ctes: str) -> str:
-    return "WITH " + ",\n ".join([BASE, *ctes]) + "\n" + select
+def on_docs(select: str, *ctes: str, table: str = "documents") -> str:
+    return "WITH " + ",\n ".join([base(table), *ctes]) + "\n" + select
 
 
 def flat(source: str, kind: str, severity: str, title: str, rec: str, column: str = "NULL::INTEGER", extra: str = "") -> str:
@@ -485,22 +490,6 @@ def decoded_sources() -> str:
  SELECT doc_id, encoding, length(t)::INTEGER AS n_chars, md5(t) AS digest FROM y"""
 
 
-def natural(table: str, keys: str, text: str) -> str:
-    """Text findings of a table as it is; it holds no hidden payloads."""
-    names = [k.strip() for k in keys.split(",")]
-    ident = " || '/' || ".join(f"cast({k} AS VARCHAR)" for k in names)
-    base = f"planted AS (SELECT {ident} AS id, {text} AS text, 0 AS start, {keys} FROM {table})"
-    none = "hidden AS (SELECT id, 1::INTEGER AS line, '' AS kind, '' AS severity, '' AS title_key, '' AS detail, '' AS rec_key FROM planted WHERE false)"
-    generic = GENERIC.replace(
-        "UNION ALL SELECT id, (start + 4)::INTEGER, 'secret=\"aaaaaaab\"' FROM planted WHERE id % 24 = 19", ""
-    )
-    ctes = [LINES, CHARS, RUNS, none, UNICODE, HOMOGLYPH, SECRETS, generic, ENCODED, DUNDER, ALL_FOUND]
-    return (
-        "WITH " + ",\n ".join([base, *ctes])
-        + f"\nSELECT {keys}, kind, severity, line, detail FROM ranked JOIN planted USING (id)"
-    )
-
-
 def statements() -> dict[str, str]:
     char_ctes = [LINES, CHARS]
     run_ctes = [LINES, CHARS, RUNS]
@@ -615,8 +604,11 @@ def statements() -> dict[str, str]:
         "tree_paths": """WITH p AS (SELECT doc_id, source || '/' || CASE doc_id % 6 WHEN 0 THEN 'build/' WHEN 1 THEN 'pkg/venv/' WHEN 2 THEN 'building/' ELSE '' END
   || doc_id || CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.PYW' WHEN 2 THEN '.pyc' ELSE '/a.py' END AS path FROM documents)
  SELECT doc_id, path FROM p WHERE doc_id % 6 NOT IN (0, 1) AND doc_id % 5 <> 2""",
-        "conversation_findings": natural("conversations", "conv_id, turn", "text"),
-        "page_findings": natural("pages", "page_id", "html"),
+        "conversation_findings": on_docs(
+            "SELECT id // 1000 AS conv_id, id % 1000 AS turn, kind, severity, line, detail FROM ranked", *ALL, table="conversations"
+        ),
+        "page_findings": on_docs("SELECT id AS page_id, kind, severity, line, detail FROM ranked", *ALL, table="pages"),
+        "page_report": on_docs(f"SELECT id AS page_id, {report_columns} FROM lit", *ALL, REPORT, table="pages"),
         "stored_findings": on_docs("SELECT id AS doc_id, kind, line, detail FROM all_found WHERE severity = 'high'", *ALL),
         "stream_scan": on_docs(
             'SELECT id AS doc_id, kind, severity, title_key, line, col AS "column", detail, rec_key FROM all_found', *ALL

@@ -106,14 +106,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def planted(spark: SparkSession, folder: str) -> DataFrame:
-    """`(doc_id, path, encoding, text)`: every document with its suffix."""
-    documents = table(spark, folder, "documents")
-    return documents.select(
-        "doc_id",
-        F.expr("'docs/' || cast(doc_id as string) || '.txt'").alias("path"),
-        F.lit("utf-8").alias("encoding"),
-        F.expr(PLANTED_TEXT).alias("text"),
+# The other tables of texts under the names the recipe uses.
+SOURCES = {
+    "documents": "SELECT doc_id, text FROM documents",
+    "conversations": "SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations",
+    "pages": "SELECT page_id AS doc_id, html AS text FROM pages",
+}
+
+
+def planted(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
+    """`(doc_id, path, encoding, text)`: every text of a table with its suffix."""
+    columns = SOURCES[name].removeprefix("SELECT ").removesuffix(f" FROM {name}").split(", ")
+    return (
+        table(spark, folder, name)
+        .select(*[F.expr(c) for c in columns])
+        .select(
+            "doc_id",
+            F.expr("'docs/' || cast(doc_id as string) || '.txt'").alias("path"),
+            F.lit("utf-8").alias("encoding"),
+            F.expr(PLANTED_TEXT).alias("text"),
+        )
     )
 
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.planted import SECRET_NAMES, planted, py_sources, table
+from checks.planted import PLANTED_TEXT, SECRET_NAMES, planted, py_sources, table
 from veilscan.functions.charclass import (
     char_name,
     classify,
@@ -32,7 +32,6 @@ from veilscan.operators.encoded import encoded_findings
 from veilscan.operators.homoglyph import homoglyph_findings, neutralise_escapes
 from veilscan.operators.pycode import (
     code_facts,
-    code_findings,
     error_findings,
     exec_findings,
     import_findings,
@@ -49,7 +48,7 @@ from veilscan.sources.decode import decode_sources
 from veilscan.sources.sinks import cleaned, cleaned_path, stage, write_findings
 from veilscan.sources.tables import texts
 from veilscan.sources.tree import in_ignored_dir, is_python_path
-from veilscan.streaming.live import stream_corpus, stream_findings, stream_texts, write_stream
+from veilscan.streaming.live import stream_findings, stream_texts, write_stream
 
 FLAT = ["kind", "severity", "title_key", "line", "column", "detail", "rec_key"]
 
@@ -368,25 +367,29 @@ def tree_paths(spark, folder):
 
 
 def conversation_findings(spark, folder):
-    source = spread(texts(table(spark, folder, "conversations"), "text", "conv_id", "turn"))
-    return explode_findings(scan(source, python_code=False), "conv_id", "turn").select(
-        "conv_id", "turn", "kind", "severity", "line", "detail"
+    source = planted(spark, folder, "conversations").select(
+        F.expr("doc_id div 1000").alias("conv_id"), F.expr("doc_id % 1000").alias("turn"), "text"
     )
+    found = explode_findings(scan(spread(texts(source, "text", "conv_id", "turn")), python_code=False))
+    return found.select("conv_id", "turn", "kind", "severity", "line", "detail")
+
+
+def scanned_pages(spark, folder):
+    source = planted(spark, folder, "pages").select(F.col("doc_id").alias("page_id"), "text")
+    return scan(spread(texts(source, "text", "page_id")), python_code=False)
 
 
 def page_findings(spark, folder):
-    source = spread(texts(table(spark, folder, "pages"), "html", "page_id"))
-    return explode_findings(scan(source, python_code=False), "page_id").select(
-        "page_id", "kind", "severity", "line", "detail"
-    )
+    found = explode_findings(scanned_pages(spark, folder), "page_id")
+    return found.select("page_id", "kind", "severity", "line", "detail")
 
 
-def _streamed_docs(spark, folder):
-    arriving = stream_texts(
-        spark, folder, table(spark, folder, "documents").schema.simpleString()[7:-1].replace(":", " "), "documents.parquet"
-    )
-    from checks.planted import PLANTED_TEXT
+def page_report(spark, folder):
+    return reports.file_report(scanned_pages(spark, folder)).select("page_id", *REPORT)
+
 
+def _streamed_docs(spark, folder):
+    arriving = stream_texts(spark, folder, "doc_id bigint, text string", "documents.parquet")
     return arriving.select("doc_id", F.expr(PLANTED_TEXT).alias("text"))
 
 
@@ -460,6 +463,7 @@ def registry():
         "tree_paths": tree_paths,
         "conversation_findings": conversation_findings,
         "page_findings": page_findings,
+        "page_report": page_report,
         "stored_findings": stored_findings,
         "stream_scan": stream_scan,
     }
