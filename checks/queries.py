@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +42,7 @@ from veilscan.operators.unicode import carrier_findings, char_findings, unicode_
 from veilscan.operators.watermark import comment_findings, dunder_findings, may_have_marked_comment
 from veilscan.plans import render, reports
 from veilscan.plans.scan import detector_findings, explode_findings, scan
-from veilscan.session import spread
+from veilscan.session import shared_folder
 from veilscan.sources.decode import decode_sources
 from veilscan.sources.sinks import cleaned, cleaned_path, stage, write_findings
 from veilscan.sources.tables import texts
@@ -53,19 +52,12 @@ from veilscan.streaming.live import stream_findings, stream_texts, write_stream
 FLAT = ["kind", "severity", "title_key", "line", "column", "detail", "rec_key"]
 
 
-def shared(spark: SparkSession) -> SparkSession:
-    """Name a scratch folder where the session has none (a single machine, as in tests)."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="veilscan-"))
-    return spark
-
-
 def docs(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(planted(spark, folder))
+    return planted(spark, folder)
 
 
 def code(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(py_sources(spark, folder))
+    return py_sources(spark, folder)
 
 
 def detector(source, key: str, detect, *extra: str):
@@ -312,12 +304,12 @@ def _placed(report: DataFrame) -> DataFrame:
 
 def text_report(spark, folder):
     """Full text report of the Python sources; the scan is stored once and read twice."""
-    scanned = stage(scanned_code(shared(spark), folder).select("path", "encoding", "findings"))
+    scanned = stage(scanned_code(spark, folder).select("path", "encoding", "findings"))
     return _placed(render.text_report(_without_messages(scanned), "en"))
 
 
 def console_report(spark, folder):
-    scanned = stage(scanned_code(shared(spark), folder).select("path", "encoding", "findings"))
+    scanned = stage(scanned_code(spark, folder).select("path", "encoding", "findings"))
     return _placed(render.console_listing(_without_messages(scanned), "ru"))
 
 
@@ -347,7 +339,7 @@ def raw_bytes() -> Column:
 
 
 def decoded_sources(spark, folder):
-    raw = spread(table(spark, folder, "documents")).select("doc_id", raw_bytes().alias("content"))
+    raw = table(spark, folder, "documents").select("doc_id", raw_bytes().alias("content"))
     return decode_sources(raw).select(
         "doc_id", "encoding", F.length("text").alias("n_chars"),
         F.md5(F.col("text").cast("binary")).alias("digest"),
@@ -370,13 +362,13 @@ def conversation_findings(spark, folder):
     source = planted(spark, folder, "conversations").select(
         F.expr("doc_id div 1000").alias("conv_id"), F.expr("doc_id % 1000").alias("turn"), "text"
     )
-    found = explode_findings(scan(spread(texts(source, "text", "conv_id", "turn")), python_code=False))
+    found = explode_findings(scan(texts(source, "text", "conv_id", "turn"), python_code=False))
     return found.select("conv_id", "turn", "kind", "severity", "line", "detail")
 
 
 def scanned_pages(spark, folder):
     source = planted(spark, folder, "pages").select(F.col("doc_id").alias("page_id"), "text")
-    return scan(spread(texts(source, "text", "page_id")), python_code=False)
+    return scan(texts(source, "text", "page_id"), python_code=False)
 
 
 def page_findings(spark, folder):
@@ -396,8 +388,7 @@ def _streamed_docs(spark, folder):
 def stream_scan(spark, folder):
     """All findings through a streaming query into Parquet, read back."""
     name = f"scan-{uuid.uuid4().hex}"
-    base = shared(spark).conf.get("spark.checkpoint.dir")
-    out = f"{base}/{name}"
+    out = f"{shared_folder(spark)}/{name}"
     found = stream_findings(_streamed_docs(spark, folder)).where(F.col("detector") < 5)
     write_stream(found.select("doc_id", *FLAT), out, name).awaitTermination()
     return spark.read.parquet(out)
@@ -405,7 +396,7 @@ def stream_scan(spark, folder):
 
 def stored_findings(spark, folder):
     """The findings sink: written by severity, read back with one partition pruned to."""
-    out = f"{shared(spark).conf.get('spark.checkpoint.dir')}/findings-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}"
     write_findings(explode_findings(scanned_docs(spark, folder), "doc_id"), out)
     stored = spark.read.parquet(out).where(F.col("severity") == "high")
     return stored.select("doc_id", "kind", "line", "detail")

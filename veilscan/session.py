@@ -1,34 +1,22 @@
-"""Session helpers: scratch folder, input spreading and recommended settings."""
+"""Session helpers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
 
-# Texts vary in length by orders of magnitude: bound Arrow batches by rows well below the
-# default, let AQE size the few small shuffles, and fail loudly on bad casts.
-RECOMMENDED_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
-    "spark.sql.files.maxPartitionBytes": "64m",
-    "spark.sql.ansi.enabled": "true",
-}
+from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared scratch folder the cluster names in `spark.checkpoint.dir`."""
+    """The shared scratch folder the cluster names in `spark.checkpoint.dir`.
+
+    Only a local master, whose tasks all run in this process, may do without the setting; it
+    then gets a folder of its own, once per session.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="veilscan-")
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
-
-
-def spread(texts: DataFrame, minimum: int | None = None) -> DataFrame:
-    """Give a small input enough partitions to keep every core busy.
-
-    A table of many files already has them and is returned as it is, without a shuffle. Rows
-    go round-robin, so no key, however frequent, can make one partition larger.
-    """
-    spark = texts.sparkSession
-    wanted = minimum or spark.sparkContext.defaultParallelism
-    return texts if texts.rdd.getNumPartitions() >= wanted else texts.repartition(wanted)
