@@ -4,16 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import archive, lines, mixing, rows
+from veilscan.llm import archive, bpe, compression, counts, lines, mixing, rows, token_files
+
+LIBRARY_TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
+PIECE_MODEL = "piece_bpe_32k.model"
+END_ID = 2
 
 
 def _table(folder: str, name: str, spark: SparkSession) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(LIBRARY_TOKENIZER)
+    folder = rows.new_folder(spark, "tokens")
+    token_files.write_token_files(
+        _table(sf_dir, "documents", spark),
+        folder,
+        lambda: token_files.LibraryEncoder(path),
+        END_ID,
+        token_files.LibraryEncoder(path).n_ids,
+    )
+    return token_files.read_token_files(spark, folder)
+
+
+def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.compression_rules(_table(sf_dir, "documents", spark))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(RANKS)
+    docs = _table(sf_dir, "documents", spark)
+    return bpe.encoding_digests(docs, path, public_tokenizers.PATTERN)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(PIECE_MODEL)
+    return counts.token_counts(_table(sf_dir, "documents", spark), path)
+
+
 def op8_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = rows.new_folder(spark, "archive")
     archive.write_archive(_table(sf_dir, "pages", spark), folder)
@@ -37,6 +71,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_files": op1_token_files,
+        "op2_compression_bands": op2_compression_bands,
+        "op3_byte_bpe": op3_byte_bpe,
+        "op4_token_counts": op4_token_counts,
         "op8_content_archive": op8_content_archive,
         "op9_weighted_mix": op9_weighted_mix,
         "op10_line_dedup": op10_line_dedup,
