@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import archive, bpe, compression, counts, lines, mixing, rows, token_files
+from veilscan.llm import (
+    archive,
+    bpe,
+    compression,
+    counts,
+    langid,
+    lines,
+    mixing,
+    rows,
+    simhash,
+    token_files,
+    topk,
+)
 
 LIBRARY_TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -48,6 +60,26 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(_table(sf_dir, "documents", spark), path)
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(sf_dir, "embeddings", spark)
+    return topk.nearest(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(sf_dir, "documents", spark)
+    found, language = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", langid.is_held_out(F.col("doc_id")).alias("held_out"), f"{language}.*")
+
+
+def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(sf_dir, "documents", spark))
+    return found.select(
+        "doc_id",
+        simhash.as_hex(F.col("print")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def op8_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = rows.new_folder(spark, "archive")
     archive.write_archive(_table(sf_dir, "pages", spark), folder)
@@ -75,6 +107,9 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_compression_bands": op2_compression_bands,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_token_counts": op4_token_counts,
+        "op5_exact_top_k": op5_exact_top_k,
+        "op6_language_id": op6_language_id,
+        "op7_simhash_groups": op7_simhash_groups,
         "op8_content_archive": op8_content_archive,
         "op9_weighted_mix": op9_weighted_mix,
         "op10_line_dedup": op10_line_dedup,

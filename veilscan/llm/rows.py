@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -16,6 +18,28 @@ from veilscan.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+# Everything that some pattern or library takes for white space, without the space itself
+# (fixed values).
+OTHER_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
+)
+
+
+def words_apart(text: str) -> bool:
+    """Whether every space of a text stands between two characters that are not white space.
+
+    Then each begins a new piece for tokenizers that put a space in front of a word, whatever
+    else the text holds, and words can be encoded apart. Such texts also begin and end with a
+    character that is not white space.
+    """
+    if not text or text[0] == " " or text[-1] == " " or "  " in text or text[-1] in OTHER_BLANKS:
+        return False
+    return not any(
+        c in text and (c + " " in text or " " + c in text) for c in OTHER_BLANKS
+    )
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A folder name below the shared scratch folder that nothing uses yet."""
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
@@ -31,6 +55,18 @@ def stored(table: DataFrame, purpose: str) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(folder)
 
 
+def per_worker(name: str, make: Callable[[], object]) -> object:
+    """An object that a Python worker makes once and keeps for all tasks it runs.
+
+    Functions, and with them the globals of their modules, may reach a worker anew with each
+    task; vocabularies and the caches beside them should not.
+    """
+    kept = sys.modules.setdefault("_veilscan_worker", types.ModuleType("_veilscan_worker"))
+    if name not in kept.__dict__:
+        kept.__dict__[name] = make()
+    return kept.__dict__[name]
+
+
 def fresh(frame: DataFrame, name: str) -> str:
     """`name`, or a longer form of it that no column of the frame has."""
     taken = {column.lower() for column in frame.columns}
