@@ -11,22 +11,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import struct
-from collections.abc import Callable
-
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from veilscan.llm.rows import map_texts
+from veilscan.llm.rows import Cache, map_texts, per_worker, words_apart
 
-# Two blanks of any kind side by side, a blank at the very start, or one at the end. Without
-# them, every space begins a new piece whatever stands before it.
-_BLANK = r"\s\x1c-\x1f\x85᠎​-‍⁠﻿"
-UNCLEAR = re.compile(rf"[{_BLANK}][{_BLANK}]|\A[{_BLANK}]|[{_BLANK}]\Z")
-CACHED_CHARS = 48  # longer words are encoded each time
-CACHED_WORDS = 500_000  # words kept at a time in a task
+CACHED_CHARS = 10_000_000  # of the words, and of the pieces, that a worker remembers
 
 NOTHING = 1 << 62
 
@@ -50,7 +42,7 @@ class BytePairs:
     def _pair(self, left: int, right: int) -> int:
         """Rank of two neighbouring tokens, or NOTHING; remembered in `_pairs`."""
         rank = self.ranks.get(self.tokens[left] + self.tokens[right], NOTHING)
-        if len(self._pairs) >= 2_000_000:
+        if len(self._pairs) >= 600_000:
             self._pairs.clear()
         self._pairs[left * self._base + right] = rank
         return rank
@@ -124,77 +116,68 @@ class BytePairs:
 class Encoder:
     """Texts to ids by a pattern for the pieces and ranks for the merges, and back."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cached_chars: int = CACHED_CHARS):
         self.pairs = BytePairs(ranks)
         self._split = regex.compile(pattern).findall
-        self._words: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._words = Cache(cached_chars)
+        self._pieces = Cache(cached_chars, twice=False)
 
     def _ids(self, text: str) -> bytes:
         out = []
-        known = self._pieces
+        known = self._pieces.values.get
         for piece in self._split(text):
-            ids = known.get(piece)
+            ids = known(piece)
             if ids is None:
                 numbers = self.pairs.encode_piece(piece.encode())
                 ids = struct.pack(f"<{len(numbers)}I", *numbers)
-                if len(piece) <= CACHED_CHARS:
-                    if len(known) >= CACHED_WORDS:
-                        known.clear()
-                    known[piece] = ids
+                self._pieces.offer(piece, ids)
+                known = self._pieces.values.get
             out.append(ids)
         return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
 
-        Where no two blanks meet, every space begins a piece, so words can be encoded one by
-        one, and those seen before are looked up.
+        Where every space stands alone it begins a piece, so words can be encoded one by one,
+        and those seen before are looked up.
         """
-        if UNCLEAR.search(text):
+        if not words_apart(text):
             return self._ids(text)
-        words = text.split(" ")
-        found = self._words
-        out = [self._word(words[0])]
-        get = found.get
-        for word in words[1:]:
-            ids = get(word)
-            out.append(self._spaced(word) if ids is None else ids)
-        return b"".join(out)
-
-    def _word(self, word: str) -> bytes:
-        return self._ids(word) if word else b""
-
-    def _spaced(self, word: str) -> bytes:
-        ids = self._ids(" " + word)
-        if len(word) <= CACHED_CHARS:
-            if len(self._words) >= CACHED_WORDS:
-                self._words.clear()
-            self._words[word] = ids
-        return ids
+        first, *words = text.split(" ")
+        parts = list(map(self._words.values.get, words))
+        if None in parts:
+            for i, part in enumerate(parts):
+                if part is None:
+                    parts[i] = ids = self._ids(" " + words[i])
+                    self._words.offer(words[i], ids)
+        return self._ids(first) + b"".join(parts)
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that ids stand for."""
         return b"".join(map(self.pairs.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encoder(path: str, pattern: str) -> Callable[[], Encoder]:
-    """What makes the encoder of a rank file inside a task."""
-    return lambda: Encoder(read_ranks(path), pattern)
+def encoder(path: str, pattern: str, cached_chars: int = CACHED_CHARS) -> Encoder:
+    """The encoder of a rank file and a pattern, one in a worker."""
+    name = f"ranks {path} {pattern} {cached_chars}"
+    return per_worker(name, lambda: Encoder(read_ranks(path), pattern, cached_chars))
 
 
 def encode_documents(
-    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text",
+    cached_chars: int = CACHED_CHARS,
 ) -> DataFrame:
     """`(key, ids, decoded)`: the ids of every text as an array, and the bytes they decode to.
 
+    `cached_chars` bounds what a worker remembers; it changes the time, never the result.
+
     Null texts are empty: no ids, no bytes. Keys are passed through, null or repeated as they
     are; other columns are not read. An empty table gives an empty table. Texts of any length
     are encoded whole.
     """
 
     def make():
-        coder = encoder(path, pattern)()
+        coder = encoder(path, pattern, cached_chars)
 
         def one(value: str | None) -> tuple:
             ids = coder.encode(value or "")
@@ -211,7 +194,7 @@ def encoding_digests(
     """Like `encode_documents`, with digests in place of the ids and the bytes."""
 
     def make():
-        coder = encoder(path, pattern)()
+        coder = encoder(path, pattern)
 
         def one(value: str | None) -> tuple:
             ids = coder.encode(value or "")

@@ -25,12 +25,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
-from veilscan.llm.rows import map_texts
+from veilscan.llm.rows import map_texts, per_worker
 
 SPACE = "▁"
 CHUNK_CHARS = 1 << 16
-MOST_STATES = 400_000  # kept at a time in a task
-CACHED_WORDS = 500_000
+MOST_STATES = 250_000  # kept at a time in a worker
+CACHED_WORDS = 800_000
 CACHED_CHARS = 48
 
 START = 0
@@ -107,7 +107,7 @@ class Transducer:
         key = (left, right)
         found = self._follows.get(key)
         if found is None:
-            if len(self._follows) >= 1_000_000:
+            if len(self._follows) >= 600_000:
                 self._follows.clear()
             found = self._follows[key] = self.merged(left + right) == [left, right]
         return found
@@ -244,7 +244,7 @@ def token_counts(
     """
 
     def make() -> Callable[[str | None], tuple]:
-        transducer = compile_model(path)
+        transducer = per_worker(f"pieces {path}", lambda: compile_model(path))
 
         def one(value: str | None) -> tuple:
             tokens = transducer.count(value or "")

@@ -18,6 +18,8 @@ from veilscan.session import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+ENTRY_CHARS = 8  # what an entry of a cache counts beside its word
+
 # Everything that some pattern or library takes for white space, without the space itself
 # (fixed values).
 OTHER_BLANKS = (
@@ -67,6 +69,35 @@ def per_worker(name: str, make: Callable[[], object]) -> object:
     return kept.__dict__[name]
 
 
+class Cache:
+    """Values by word, within a bound on characters.
+
+    Most words of a corpus come once in what a worker reads. With `twice`, a word is noted in
+    a table by hash when it comes first, and takes room here when it comes again.
+    """
+
+    def __init__(self, most_chars: int, twice: bool = True):
+        self.most_chars = most_chars
+        self.twice = twice
+        self.clear()
+
+    def clear(self) -> None:
+        self.values: dict[str, bytes] = {}
+        self.chars = 0
+        self._seen = bytearray(1 << 22 if self.twice else 0)
+
+    def offer(self, word: str, value: bytes) -> None:
+        """Keep a value, or only note its word."""
+        place = hash(word) & 0x3FFFFF
+        if not self.twice or self._seen[place]:
+            if self.chars > self.most_chars:
+                self.clear()
+            self.values[word] = value
+            self.chars += len(word) + ENTRY_CHARS
+        else:
+            self._seen[place] = 1
+
+
 def fresh(frame: DataFrame, name: str) -> str:
     """`name`, or a longer form of it that no column of the frame has."""
     taken = {column.lower() for column in frame.columns}
