@@ -99,7 +99,9 @@ class Model:
     threshold: float = 0.0
 
     def probabilities(self, text: str | None) -> np.ndarray | None:
-        """Probability of every language; None without letters."""
+        """Probability of every language; None without letters, or without languages."""
+        if not self.languages:
+            return None
         total, n = np.zeros(len(self.languages)), 0
         for hashes in subwords(letters(text or "")):
             total += self.table[hashes].sum(axis=0, dtype=np.float64)
@@ -109,7 +111,7 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, and whether the score is high enough."""
         found = self.probabilities(text)
-        if found is None or not len(found):
+        if found is None:
             return UNDETERMINED, 0.0, False
         best = int(found.argmax())
         score = float(min(1.0, found[best]))

@@ -146,18 +146,16 @@ def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def forest(mine: np.ndarray, theirs: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as (member, root) pairs, of the links between two sets."""
-    both = np.concatenate([mine, theirs])
+    both, place = np.unique(np.concatenate([mine, theirs]), return_inverse=True)
     parent = np.arange(len(both))
     for start in range(0, len(mine), ROWS_AT_ONCE):
         rows = mine[start : start + ROWS_AT_ONCE]
         apart = np.bitwise_count(rows[:, None] ^ theirs[None, :])
         a, b = np.nonzero(apart <= radius)
         if len(a):
-            _roots(parent, a + start, b + len(mine))
+            _roots(parent, place[a + start], place[b + len(mine)])
     linked = np.flatnonzero(parent != np.arange(len(both)))
-    members, roots = both[linked], both[parent[linked]]
-    different = members != roots
-    return members[different], roots[different]
+    return both[linked], both[parent[linked]]
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
