@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from veilscan.llm import bpe, langid, lines, mixing, rows, simhash
 
 RANKS = "byte_bpe_50k.tiktoken"
+CACHED_CHARS = 2_500_000  # workers also hold what earlier stages left in them
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document drawn, and a digest of the bytes that they decode to."""
     path = public_tokenizers.path(RANKS)
-    coded = bpe.encode_documents(docs, path, public_tokenizers.PATTERN)
+    coded = bpe.encode_documents(
+        docs, path, public_tokenizers.PATTERN, cached_chars=CACHED_CHARS
+    )
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
