@@ -33,15 +33,9 @@ def _table(folder: str, name: str, spark: SparkSession) -> DataFrame:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, folder = _table(sf_dir, "documents", spark), rows.new_folder(spark, "tokens")
     path = public_tokenizers.path(LIBRARY_TOKENIZER)
-    folder = rows.new_folder(spark, "tokens")
-    token_files.write_token_files(
-        _table(sf_dir, "documents", spark),
-        folder,
-        lambda: token_files.LibraryEncoder(path),
-        END_ID,
-        token_files.LibraryEncoder(path).n_ids,
-    )
+    token_files.write_token_files(docs, folder, path, END_ID)
     return token_files.read_token_files(spark, folder)
 
 

@@ -13,10 +13,11 @@ a lost attempt is in no manifest and is never read.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +26,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilscan.llm.rows import column
+from veilscan.llm.rows import Cache, column, per_worker, words_apart
 
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256
 BLOCK_IDS = 1 << 20  # ids that a reader holds at a time
-CACHED_CHARS = 48
-CACHED_WORDS = 400_000
+CACHED_CHARS = 16_000_000  # of the words that a worker remembers
+SIGNS = ".,;:!?"
+LAST_LATIN = "\u024f"
+SPACE_SIGN = "\u0120"  # how byte-level vocabularies write a space
 SEQUENCE = "<QqBQQ"
 TRAILER = "<QQQB8s"
 
@@ -222,61 +225,97 @@ class LibraryEncoder:
     """Ids of texts as the tokenizers library gives them, words seen before looked up.
 
     The vocabulary splits before every space that stands alone, so where no two blanks meet
-    the library encodes a text word by word.
+    the library may encode the words of a text one by one, or new ones in any order, beside
+    each other. A token that begins with a space then begins a word.
     """
 
     def __init__(self, path: str):
+        # One thread a task; Spark runs as many tasks as there are cores.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        from veilscan.llm.bpe import UNCLEAR
-
         self._library = Tokenizer.from_file(path)
-        self._unclear = UNCLEAR
         self._special = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self.n_ids = self._library.get_vocab_size(with_added_tokens=True)
-        self._words: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> bytes:
-        ids = self._library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        self._begins = np.zeros(self.n_ids, bool)
+        for token, number in self._library.get_vocab(with_added_tokens=True).items():
+            self._begins[number] = token.startswith(SPACE_SIGN)
+        self._words = Cache(CACHED_CHARS)
+        self._starts = Cache(CACHED_CHARS // 10)
+
+    def _plain(self, text: str) -> np.ndarray:
+        found = self._library.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found[0].ids, "<u4")
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, each behind a space, from one call of the library."""
+        if not words:
+            return {}
+        ids = self._plain(" " + " ".join(words))
+        starts = np.flatnonzero(self._begins[ids]).tolist()
+        if len(starts) != len(words):  # not a vocabulary whose tokens begin with the space
+            return {word: self._plain(" " + word).tobytes() for word in words}
+        data = ids.tobytes()
+        ends = [*starts[1:], len(ids)]
+        return {w: data[4 * a : 4 * b] for w, a, b in zip(words, starts, ends)}
+
+    def _found(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not remembered, each behind a space."""
+        # A sign behind a letter begins a piece of its own, the same after any word.
+        signed = {}
+        for word in words:
+            bare = word.rstrip(SIGNS)
+            if bare != word and bare[-1:].isalpha() and bare[-1] <= LAST_LATIN:
+                signed[word] = bare
+        known, offer = self._words.values, self._words.offer
+        bare = words.difference(signed).union(signed.values())
+        found = {word: known[word] for word in bare if word in known}
+        learned = self._learn([word for word in bare if word not in found])
+        found.update(learned)
+        for word, start in signed.items():
+            found[word] = ids = found[start] + self._alone(word[len(start) :])
+            offer(word, ids)
+        for word, ids in learned.items():
+            offer(word, ids)
+        return found
+
+    def _alone(self, start: str) -> bytes:
+        """Ids of a word without a space in front, or of signs."""
+        ids = self._starts.values.get(start)
+        if ids is None:
+            ids = self._plain(start).tobytes()
+            self._starts.offer(start, ids)
+        return ids
 
     def encode(self, text: str) -> np.ndarray:
-        if self._unclear.search(text) or any(s in text for s in self._special):
-            return np.frombuffer(self._plain(text), "<u4")
-        words = text.split(" ")
-        known = self._words
-        missing = [w for w in dict.fromkeys(words[1:]) if w not in known]
-        if missing:
-            if len(known) + len(missing) > CACHED_WORDS:
-                known.clear()
-                missing = list(dict.fromkeys(words[1:]))
-            found = self._library.encode_batch_fast([" " + w for w in missing], add_special_tokens=False)
-            once = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, found)}
-            known.update((w, ids) for w, ids in once.items() if len(w) <= CACHED_CHARS)
-            if any(len(w) > CACHED_CHARS for w in missing):
-                parts = [known[w] if w in known else once[w] for w in words[1:]]
-                return np.frombuffer(b"".join([self._plain(words[0]), *parts]), "<u4")
-        parts = map(known.__getitem__, words[1:])
-        return np.frombuffer(b"".join([self._plain(words[0]), *parts]), "<u4")
+        if not words_apart(text) or any(s in text for s in self._special):
+            return self._plain(text)
+        first, *words = text.split(" ")
+        parts = list(map(self._words.values.get, words))
+        if None in parts:
+            places = [i for i, part in enumerate(parts) if part is None]
+            found = self._found({words[i] for i in places})
+            for i in places:
+                parts[i] = found[words[i]]
+        return np.frombuffer(self._alone(first) + b"".join(parts), "<u4")
 
 
 def write_token_files(
     docs: DataFrame,
     folder: str,
-    make_encoder: Callable[[], LibraryEncoder],
+    path: str,
     end_id: int,
-    n_ids: int,
     key: str = "doc_id",
     text: str = "text",
 ) -> None:
     """Write the ids of all texts below `folder`, in ascending order of the documents' ids.
 
-    Every document ends with `end_id`. `n_ids`, the size of the vocabulary, sets the bytes of
-    an id. Null texts are empty and have the end id alone. Documents without an id come first;
+    `path` is a file of the tokenizers library. Every document ends with `end_id`. An id takes
+    two bytes, or four if the vocabulary is larger. Null texts are empty and have the end id alone. Documents without an id come first;
     documents with the same id stand side by side, in the order of a hash of their texts, and
     each is a document. Other columns are not read. An empty table gives no file.
     """
-    width = 2 if n_ids <= 1 << 16 else 4
+    width = 2 if max(LibraryEncoder(path).n_ids, end_id + 1) <= 1 << 16 else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -285,7 +324,7 @@ def write_token_files(
         for batch in batches:
             for name, value in zip(batch.column(0), batch.column(1)):
                 if writer is None:
-                    encoder = make_encoder()
+                    encoder = per_worker(f"library {path}", lambda: LibraryEncoder(path))
                     shard = TaskContext.get().partitionId()
                     file = f"ids-{shard:06d}-{uuid.uuid4().hex}.bin"
                     writer = TokenFileWriter(folder, file, width)
