@@ -116,9 +116,13 @@ def cleaned_sink(spark, folder):
 
 def suppressed_as_join(spark, folder):
     """Suppression as an anti-join of two findings tables, for findings that are stored."""
-    source = docs(spark, folder)
-    chars = detector_findings(source, "doc_id", char_findings(F.col("text")))
-    hidden = detector_findings(source, "doc_id", carrier_findings(F.col("text")))
+    body = F.col("text")
+    found = docs(spark, folder).select(
+        "doc_id", char_findings(body).alias("chars"), carrier_findings(body).alias("hidden")
+    )
+    found = stage(found)
+    chars = detector_findings(found, "doc_id", F.col("chars"))
+    hidden = detector_findings(found, "doc_id", F.col("hidden"))
     return chars.join(hidden, ["doc_id", "line"], "left_anti").select("doc_id", *FLAT)
 
 
@@ -314,7 +318,7 @@ def console_report(spark, folder):
 
 
 def html_report(spark, folder):
-    scanned = scanned_code(spark, folder).select("path", "encoding", "findings")
+    scanned = stage(scanned_code(spark, folder).select("path", "encoding", "findings"))
     return render.html_cards(_without_messages(scanned), "en")
 
 
@@ -389,7 +393,7 @@ def stream_scan(spark, folder):
     """All findings through a streaming query into Parquet, read back."""
     name = f"scan-{uuid.uuid4().hex}"
     out = f"{shared_folder(spark)}/{name}"
-    found = stream_findings(_streamed_docs(spark, folder)).where(F.col("detector") < 5)
+    found = stream_findings(_streamed_docs(spark, folder), python_code=False)
     write_stream(found.select("doc_id", *FLAT), out, name).awaitTermination()
     return spark.read.parquet(out)
 

@@ -201,6 +201,10 @@ CASES = {
     ),
     "network": ("requests.get(u)\nd.get(k)\nos.environ.get(k)", [network(1, "×1 · requests.get · @ 1")]),
     "network names": ("f().urlopen()\nsocket()\nx.create_connection()", [network(1, "×3 · socket, urlopen, x.create_connection · @ 1, 2, 3")]),
+    "shell_twice": (
+        "run(c, shell=False, shell=True)\nrun(c, shell=x, shell=1)",
+        [shell(2, "×1 · run(...) · @ 2")],
+    ),
     "shell": (
         "os.system(c)\nsubprocess.run(c, shell=True)\nsubprocess.run(c)\nrun(c, shell=1)\nrun(c, shell='')\nrun(c, shell=x)\nsystem(c)",
         [shell(1, "×3 · os.system(...), run(...), subprocess.run(...) · @ 1, 2, 4")],

@@ -15,6 +15,7 @@ from veilscan.functions.messages import format_message, localize, message
 from veilscan.functions.text import bytes_to_text, bytes_to_text_lenient, mask_secret, printable_ratio, shannon_entropy
 from veilscan.operators.homoglyph import neutralise_escapes
 from veilscan.operators.secrets import generic_severity
+from veilscan.sources.tree import is_python_path
 
 
 def column(spark, values, kind, expression):
@@ -181,3 +182,18 @@ def test_messages(spark):
     templates = ["{count} of {path}", "{count} {year}", "plain"]
     got = column(spark, templates, "string", lambda t: format_message(t, count=F.lit(3), path=F.lit("x")))
     assert got == ["3 of x", "{count} {year}", "plain"]
+
+
+def test_printable_of_all_code_points(spark):
+    codes = spark.range(0x110000).where("id < 55296 or id > 57343")
+    one = codes.select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    found = one.where(printable_ratio(F.col("c")) == 1.0).select("id").collect()
+    tolerated = {9, 10}
+    expected = {i for i in range(0x110000) if chr(i).isprintable() or i in tolerated}
+    assert {r.id for r in found} == expected
+
+
+def test_python_path_names(spark):
+    names = {"a.py": 1, "a.PYW": 1, "d/__init__.py": 1, ".h.py": 1, ".py": 0, "..py": 0, "d/...py": 0, "a.py\n": 0, "a.pyc": 0}
+    rows = spark.createDataFrame(list(names.items()), "name string, wanted int")
+    assert all(r.p == bool(r.wanted) for r in rows.select("wanted", is_python_path(F.col("name")).alias("p")).collect())

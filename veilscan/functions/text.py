@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilscan.functions.matching import let
 
-# Not printable: control, format, private-use and unassigned characters and separators other
-# than the plain space; tab and newline are tolerated in decoded payloads.
-_UNPRINTABLE = r"[\p{C}\p{Z}&&[^ \t\n]]"
+
+@cache
+def unprintable_class() -> str:
+    """A regex class of what Python calls not printable, but for tab and newline.
+
+    The ranges come from Python's tables, since the JVM's own may be of an older Unicode
+    version. The two parts let ASCII characters pass without a look at the ranges above.
+    """
+    ranges, start = [], None
+    for code in range(0x80, 0x110001):
+        hidden = code < 0x110000 and not chr(code).isprintable()
+        if hidden and start is None:
+            start = code
+        elif not hidden and start is not None:
+            ranges.append(f"\\x{{{start:X}}}-\\x{{{code - 1:X}}}")
+            start = None
+    return rf"[\x00-\x08\x0B-\x1F\x7F]|[\x{{80}}-\x{{10FFFF}}&&[{''.join(ranges)}]]"
 
 
 def printable_ratio(text: Column) -> Column:
     """Share of printable characters; 0 for the empty string."""
-    bad = F.length(text) - F.length(F.regexp_replace(text, _UNPRINTABLE, ""))
+    bad = F.length(text) - F.length(F.regexp_replace(text, unprintable_class(), ""))
     return F.when(F.length(text) > 0, (F.length(text) - bad) / F.length(text)).otherwise(F.lit(0.0))
 
 

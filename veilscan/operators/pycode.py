@@ -113,6 +113,7 @@ def _call_fact(call: ast.Call) -> dict | None:
     root = chain[0] if chain else ""
     if name not in _WATCHED_NAMES and root not in _WATCHED_ROOTS:
         return None
+    # Of repeated keywords the first with a constant counts.
     shell = [k.value for k in call.keywords if k.arg == "shell" and isinstance(k.value, ast.Constant)]
     fact = {
         "line": call.lineno,
@@ -121,7 +122,7 @@ def _call_fact(call: ast.Call) -> dict | None:
         "label": ".".join(chain) or name,
         "bare": len(chain) == 1,
         "nonliteral": not all(isinstance(arg, ast.Constant) for arg in call.args),
-        "shell": any(s.value for s in shell),
+        "shell": bool(shell and shell[0].value),
     }
     if fact["bare"] and name in DANGEROUS_CALLS:
         inner = (n for n in ast.walk(call) if isinstance(n, ast.Call))
@@ -142,12 +143,16 @@ def _inner_nodes(node: ast.AST) -> list[ast.AST]:
 
 
 def _tree_facts(text: str) -> dict:
+    """Facts of the syntax tree; whatever goes wrong with a text is a fact about it."""
     try:
-        tree = ast.parse(text)
+        return _parsed_facts(text, ast.parse(text))
     except SyntaxError as error:
         return {"syntax_line": error.lineno, "syntax_error": _printable(str(error.msg))}
-    except (ValueError, RecursionError, MemoryError) as error:
-        return {"failure": f"{type(error).__name__}: {error}"}
+    except Exception as error:
+        return {"failure": _printable(f"{type(error).__name__}: {error}")}
+
+
+def _parsed_facts(text: str, tree: ast.AST) -> dict:
     if text.isascii() and not _WATCHED_WORDS.search(text):
         return {}
     calls, roots, pending = [], [], [tree]
@@ -174,7 +179,7 @@ def _comments(text: str) -> list[dict]:
             for token in tokenize.generate_tokens(io.StringIO(text).readline)
             if token.type == tokenize.COMMENT
         ]
-    except (tokenize.TokenError, SyntaxError, ValueError):
+    except Exception:
         return []
 
 
@@ -187,7 +192,7 @@ def _facts(texts: pa.Array, with_comments: pa.Array) -> pa.Array:
 
     with warnings.catch_warnings():  # sources may warn about their own escapes
         warnings.simplefilter("ignore")
-        rows = map(read, texts.to_pylist(), with_comments.to_pylist())
+        rows = (read(t.as_py(), w.as_py()) for t, w in zip(texts, with_comments))
         return pa.array(list(rows), type=_FACTS)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from veilscan.functions.stego import DEFAULT_MARKS, MarkStyle
 from veilscan.plans.reports import corpus_report, file_report
-from veilscan.plans.scan import explode_findings, scan
+from veilscan.plans.scan import Detector, explode_findings, scan
 from veilscan.session import shared_folder
 
 
@@ -21,10 +21,15 @@ def stream_texts(
 
 
 def stream_findings(
-    texts: DataFrame, text: str = "text", marks: MarkStyle = DEFAULT_MARKS
+    texts: DataFrame,
+    text: str = "text",
+    marks: MarkStyle = DEFAULT_MARKS,
+    detectors: dict[str, Detector] | None = None,
+    python_code: bool = True,
 ) -> DataFrame:
     """Findings of a stream of texts; append mode, each text scanned once."""
-    return explode_findings(scan(texts, text, marks=marks))
+    options = {"marks": marks, "detectors": detectors, "python_code": python_code}
+    return explode_findings(scan(texts, text, **options))
 
 
 def stream_corpus(
