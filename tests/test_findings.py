@@ -256,16 +256,18 @@ def test_extra(found):
     assert extra("own mark", "author_mark") == {
         "scheme": "v2_octal", "magic": magic, "domain": domain, "date": date, "checksum": checksum, "valid_checksum": True,
     }
-    assert extra("hidden string", "hidden_string") == {"scheme": "v2_octal", "length": 11}
+    assert extra("hidden string", "hidden_string") == {
+        "scheme": "v2_octal", "length": 11, "payload": "hello world",
+    }
     assert extra("homoglyph", "homoglyph") == {"word": "p\u0430ypal", "scripts": ["Cyrillic", "Latin"]}
     assert extra("aws", "secret") == {"secret_type": "aws_key"}
     assert extra("generic across lines", "secret") == {"secret_type": "generic", "key": "secret"}
     assert extra("hex", "encoded_string") == {"encoding": "hex", "decoded": "hello world good day!"}
     assert extra("dunder at the start", "watermark") == {"name": "__maintainer__", "value": "me"}
-    assert extra("exec", "dangerous_exec") == {"call": "exec"}
+    assert extra("exec", "dangerous_exec") == {"call": "exec", "snippet": "exec(b64decode(s))"}
     assert extra("imports", "sensitive_import") == {"module": "shutil"}
-    assert extra("network", "network_call") == {"count": 1, "lines": [1]}
-    assert extra("comment", "watermark") == {}
+    assert extra("network", "network_call") == {"count": 1, "lines": [1], "labels": ["requests.get"]}
+    assert extra("comment", "watermark") == {"comment": "# author: me"}
 
 
 def test_own_domain_is_a_parameter(spark):
@@ -286,3 +288,28 @@ def test_own_detector(spark):
     texts = spark.createDataFrame([(1, "a\nTODO b")], "id int, text string")
     rows = explode_findings(scan(texts, detectors={"todo": todo}, python_code=False)).collect()
     assert [(r.kind, r.line, r.detail) for r in rows] == [("todo", 2, "TODO")]
+
+
+def test_whole_values_beside_the_shown_ones(spark):
+    import base64
+
+    payload = "a long hidden payload " * 20
+    text = "seen and read " * 40
+    call = f"eval(x + {'y + ' * 60}z)"
+    roots = ["http.a", "http.b", "http.c", "http.d", "http.e", "http.f", "http.g", "http.h"]
+    cases = {
+        "payload": f"x{invisible(payload)}y",
+        "decoded": f"p = '{base64.b64encode(text.encode()[:558]).decode()}'",
+        "comment": "# author: " + "me " * 100 + "end",
+        "snippet": call,
+        "labels": "\n".join(f"{r}()" for r in roots),
+    }
+    rows = spark.createDataFrame(list(cases.items()), "name string, text string")
+    found = explode_findings(scan(rows)).select("name", "detail", "extra").collect()
+    whole = {r.name: r.extra[r.name] for r in found if r.extra[r.name] is not None}
+    assert whole["payload"] == payload
+    assert whole["decoded"] == text[:558]
+    assert whole["comment"] == cases["comment"]
+    assert whole["snippet"] == call
+    assert whole["labels"] == [f"{r}(...)" for r in roots] or whole["labels"] == roots
+    assert all(len(r.detail) <= 260 for r in found)

@@ -37,6 +37,10 @@ EXTRA_FIELDS = {
     "value": "string",
     "call": "string",
     "module": "string",
+    "payload": "string",
+    "comment": "string",
+    "snippet": "string",
+    "labels": "array<string>",
 }
 
 _EMPTY_EXTRA = ",".join(f"'{k}', CAST(NULL AS {v})" for k, v in EXTRA_FIELDS.items())

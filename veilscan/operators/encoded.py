@@ -21,7 +21,6 @@ HEX = f"{WORD_START}[0-9a-fA-F]{{32,}}{WORD_END}"
 MIN_PRINTABLE = 0.85
 MIN_DECODED = 3
 DETAIL_SHOWN = 160
-DECODED_KEPT = 200
 
 # Any match of either shape contains such a run. The look-behind (a run's first character
 # does not follow a lower-case letter) and the look-ahead only skip hopeless positions.
@@ -69,7 +68,7 @@ def encoded_findings(text: Column, *encodings: str) -> Column:
             ),
             rec_key="rec.encoded_string",
             encoding=x.encoding,
-            decoded=F.left(x.decoded, F.lit(DECODED_KEPT)),
+            decoded=x.decoded,
         ),
     )
     return F.when(text.rlike(_LONG_RUN), found).otherwise(no_findings())

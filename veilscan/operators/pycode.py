@@ -239,6 +239,7 @@ def exec_findings(facts: Column) -> Column:
             detail=F.coalesce(shown, F.lit("<...>")),
             rec_key="rec.dangerous_exec",
             call=call.getField("name"),
+            snippet=call.snippet,
         )
 
     return F.transform(F.filter(facts.calls, is_dangerous), graded)
@@ -285,6 +286,7 @@ def _summary(calls: Column, kind: str, severity: str, title: str, suffix: str) -
             rec_key=f"rec.{kind}",
             count=F.size(calls),
             lines=lines,
+            labels=labels,
         )
 
     lines = F.array_sort(F.array_distinct(F.transform(calls, lambda c: c.line)))

@@ -98,6 +98,7 @@ def line_carrier_findings(line: Column, text: Column, marks: MarkStyle) -> Colum
             rec_key="rec.hidden_string",
             scheme=hit.scheme,
             length=F.length(hit.payload),
+            payload=hit.payload,
         )
 
         def mark_finding(mark: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilscan.functions.charclass import clean_text
-from veilscan.functions.matching import SPACE, SPACE_CHARS, located, newline_count
+from veilscan.functions.matching import SPACE, SPACE_CHARS, let, located, newline_count
 from veilscan.model import finding, no_findings
 
 # Dunder names and comment keywords.
@@ -70,16 +70,21 @@ def may_have_marked_comment(text: Column) -> Column:
 def comment_findings(comments: Column) -> Column:
     """Findings for the comments (`array<struct<line, text>>`) that hold a keyword."""
     marked = F.filter(comments, lambda c: has_keyword(c.text))
-    return F.transform(
-        marked,
-        lambda c: finding(
+
+    def described(line: Column, comment: Column) -> Column:
+        return finding(
             "watermark",
             "info",
             "finding.watermark_comment",
-            line=c.line,
-            detail=F.left(
-                F.regexp_replace(clean_text(c.text), f"^{SPACE}+|{SPACE}+$", ""),
-                F.lit(COMMENT_SHOWN),
-            ),
+            line=line,
+            detail=F.left(comment, F.lit(COMMENT_SHOWN)),
+            comment=comment,
+        )
+
+    return F.transform(
+        marked,
+        lambda c: let(
+            F.regexp_replace(clean_text(c.text), f"^{SPACE}+|{SPACE}+$", ""),
+            lambda comment: described(c.line, comment),
         ),
     )
