@@ -52,12 +52,21 @@ from veilscan.streaming.live import stream_findings, stream_texts, write_stream
 FLAT = ["kind", "severity", "title_key", "line", "column", "detail", "rec_key"]
 
 
+def dealt(texts: DataFrame) -> DataFrame:
+    """Texts in as many partitions as the caller names in `veilscan.input.partitions`.
+
+    For tables of a single file, which Spark reads in one task; unset, nothing is moved.
+    """
+    partitions = texts.sparkSession.conf.get("veilscan.input.partitions", None)
+    return texts.repartition(int(partitions)) if partitions else texts
+
+
 def docs(spark: SparkSession, folder: str) -> DataFrame:
-    return planted(spark, folder)
+    return dealt(planted(spark, folder))
 
 
 def code(spark: SparkSession, folder: str) -> DataFrame:
-    return py_sources(spark, folder)
+    return dealt(py_sources(spark, folder))
 
 
 def detector(source, key: str, detect, *extra: str):
