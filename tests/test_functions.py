@@ -13,7 +13,7 @@ from checks.planted import ALPHABET, OWN_MARK, invisible
 from veilscan.functions import charclass, matching, stego
 from veilscan.functions.messages import format_message, localize, message
 from veilscan.functions.text import bytes_to_text, bytes_to_text_lenient, mask_secret, printable_ratio, shannon_entropy
-from veilscan.operators.homoglyph import neutralise_escapes
+from veilscan.operators.homoglyph import homoglyph_findings, neutralise_escapes
 from veilscan.operators.secrets import generic_severity
 from veilscan.sources.tree import is_python_path
 
@@ -71,9 +71,9 @@ def test_clean_text(spark):
     assert column(spark, texts, "string", charclass.removed_chars) == [3, 0, 0, 3, 2]
 
 
-@pytest.mark.parametrize("few", [0, 16, 10_000])
-def test_positions_of_matches(spark, monkeypatch, few):
-    monkeypatch.setattr(matching, "FEW_MATCHES", few)
+@pytest.mark.parametrize("block", [2, matching.BLOCK])
+def test_positions_of_matches(spark, monkeypatch, block):
+    monkeypatch.setattr(matching, "BLOCK", block)
     rng = random.Random(7)
     pieces = ["a", "ab", "\n", "​", "\U0001f600", " ", "é", "x1", "​​"]
     texts = ["", "\n", "ab"] + ["".join(rng.choices(pieces, k=rng.randint(1, 120))) for _ in range(60)]
@@ -86,6 +86,14 @@ def test_positions_of_matches(spark, monkeypatch, few):
             assert [c["at"] for c in lines] == [text.count("\n", 0, m.start()) + 1 for m in found]
 
 
+def test_positions_in_a_long_line(spark):
+    text = "ab " * 700_000 + "p\u0430y " + "x" * 100_000
+    at = column(spark, [text], "string", lambda x: matching.located(x, "b ", F.length).getField("at"))[0]
+    assert at == list(range(2, 2_100_000, 3))
+    found = column(spark, [text], "string", homoglyph_findings)[0]
+    assert [(f.line, f.column, f.extra.word) for f in found] == [(1, 2_100_001, "p\u0430y")]
+
+
 def test_entropy_and_mask(spark):
     values = ["", "a", "aabb", "abcdefgh", "🙂🙂a", "0123456789", "01234567890"]
     for value, got in zip(values, column(spark, values, "string", shannon_entropy)):

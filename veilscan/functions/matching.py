@@ -1,12 +1,10 @@
 """Regular-expression matches with exact positions, built from Spark functions only.
 
 Spark has no function that returns match offsets in code points. `located` derives them from
-`regexp_extract_all` (the matches) and `split` (the texts between them), in one of two ways:
-
-* a few matches: the offset of each is the sum of the sizes in front of it;
-* many matches, where such sums would be quadratic: all pieces are laid out in one array in
-  which every unit (a character, or a newline) takes one slot and so does every match. A
-  match's slot number minus the number of matches before it is its offset.
+`regexp_extract_all` (the matches) and `split` (the texts between them): the position of a
+match is the sum of the sizes of all pieces in front of it. These running sums go over blocks
+of matches, blocks of blocks, and the few sums of those, so memory grows with the matches and
+time with the text.
 """
 
 from __future__ import annotations
@@ -17,8 +15,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Up to here, adding sizes up is cheaper than laying pieces out.
-FEW_MATCHES = 16
+BLOCK = 32  # sizes that are added up one by one
+LEVELS = 2  # of blocks, before the sums of blocks are added up one by one
 
 # The characters that count as white space and as word characters in the
 # patterns, spelled out because Java's own \s, \w and \b mean something else.
@@ -66,49 +64,38 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def _summed(found: Column, gaps: Column, units: Callable[[Column], Column]) -> Column:
-    """Positions by adding up what lies in front of each match."""
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda total, size: total + size)
 
-    def total(pieces: Column, count: Column) -> Column:
-        return F.aggregate(F.slice(pieces, F.lit(1), count), F.lit(0), lambda acc, p: acc + units(p))
 
-    return F.transform(
-        found,
-        lambda m, i: F.struct(
-            i.cast("int").alias("i"),
-            (total(gaps, i + 1) + total(found, i) + 1).alias("at"),
-            m.alias("m"),
-        ),
-    )
+def _running(sizes: Column) -> Column:
+    """Running sums, each added up from the start."""
+    return F.transform(sizes, lambda _, i: _total(F.slice(sizes, F.lit(1), i + 1)))
 
 
-def _laid_out(found: Column, gaps: Column, units: Callable[[Column], Column]) -> Column:
-    """Positions by laying all pieces out in slots; linear in the size of the text."""
-    slot = "struct<i:int,m:string>"
+def running_sums(sizes: Column, levels: int = LEVELS) -> Column:
+    """Running sums of an array of integers."""
+    if not levels:
+        return let(sizes, _running)
+    starts = F.sequence(F.lit(1), F.size(sizes), F.lit(BLOCK))
 
-    def blanks(n: Column) -> Column:
-        return F.array_repeat(F.lit(None).cast(slot), n)
-
-    slots = F.flatten(
-        F.transform(
-            gaps,
-            lambda gap, i: F.when(
-                i < F.size(found),
-                let(
-                    F.get(found, i),
-                    lambda m: F.concat(
-                        blanks(units(gap)),
-                        F.array(F.struct(i.cast("int").alias("i"), m.alias("m"))),
-                        blanks(units(m)),
+    def after(blocks: Column) -> Column:
+        totals = F.transform(blocks, _total)
+        return let(
+            running_sums(totals, levels - 1),
+            lambda upto: F.flatten(
+                F.transform(
+                    blocks,
+                    lambda block, i: let(
+                        F.get(upto, i) - _total(block),
+                        lambda before: F.transform(_running(block), lambda x: x + before),
                     ),
-                ),
-            ).otherwise(F.array().cast(f"array<{slot}>")),
+                )
+            ),
         )
-    )
-    placed = F.transform(
-        slots, lambda s, pos: F.struct(s.i.alias("i"), (pos - s.i + 1).alias("at"), s.m.alias("m"))
-    )
-    return F.filter(placed, lambda x: x.i.isNotNull())
+
+    blocks = F.transform(starts, lambda start: F.slice(sizes, start, F.lit(BLOCK)))
+    return F.when(F.size(sizes) > 0, let(blocks, after)).otherwise(F.array().cast("array<int>"))
 
 
 def located(text: Column, pattern: str, units: Callable[[Column], Column]) -> Column:
@@ -117,14 +104,33 @@ def located(text: Column, pattern: str, units: Callable[[Column], Column]) -> Co
     `units` counts the units in a piece of text: `F.length` gives character positions,
     `newline_count` gives line numbers. `pattern` must not match the empty string.
     """
+
+    def positions(found: Column, gaps: Column) -> Column:
+        # In front of match i: the gap before it, and the match and the gaps before that.
+        sizes = F.transform(
+            found,
+            lambda _, i: units(F.get(gaps, i))
+            + F.when(i > 0, units(F.get(found, i - 1))).otherwise(F.lit(0)),
+        )
+        return let(
+            sizes,
+            lambda pieces: let(
+                running_sums(pieces),
+                lambda before: F.transform(
+                    found,
+                    lambda m, i: F.struct(
+                        i.cast("int").alias("i"), (F.get(before, i) + 1).alias("at"), m.alias("m")
+                    ),
+                ),
+            ),
+        )
+
+    none = F.array().cast("array<struct<i:int,at:int,m:string>>")
     return let(
         matches(text, pattern),
-        lambda found: let(
-            F.split(text, pattern, -1),
-            lambda gaps: F.when(
-                F.size(found) <= FEW_MATCHES, _summed(found, gaps, units)
-            ).otherwise(_laid_out(found, gaps, units)),
-        ),
+        lambda found: F.when(
+            F.size(found) > 0, let(F.split(text, pattern, -1), lambda gaps: positions(found, gaps))
+        ).otherwise(none),
     )
 
 

@@ -20,7 +20,6 @@ ESCAPE = (
 )
 
 _LETTERS = r"\p{L}\p{Nl}\p{No}"
-_WORD = f"[{_LETTERS}]{{2,}}"
 # A letter of one script, then, inside the same word, one of another script. The letters in
 # between belong to no script; the cheap exclusion comes first, before the property lookup.
 _OTHER = f"[[^{''.join(SCRIPTS.values())}]&&[{_LETTERS}]]"
@@ -28,6 +27,8 @@ _MIXED = "|".join(
     f"[{chars}]{_OTHER}*+[{''.join(c for n, c in SCRIPTS.items() if n != name)}]"
     for name, chars in SCRIPTS.items()
 )
+# Whole words with such a change; where a word has none, no start inside it has one either.
+_MIXED_WORD = f"(?<![{_LETTERS}])(?=[{_LETTERS}]*?(?:{_MIXED}))[{_LETTERS}]+"
 _FOREIGN = r"[\x{370}-\x{4FF}]"
 
 
@@ -60,13 +61,7 @@ def homoglyph_findings(text: Column) -> Column:
     """One finding per mixed-script word, with its column."""
 
     def on_line(row: Column) -> Column:
-        words = let(
-            neutralise_escapes(row.s),
-            lambda s: F.when(s.rlike(_MIXED), located(s, _WORD, F.length)).otherwise(
-                F.array().cast("array<struct<i:int,at:int,m:string>>")
-            ),
-        )
-        mixed = F.filter(words, lambda w: w.m.rlike(_MIXED))
+        mixed = let(neutralise_escapes(row.s), lambda s: located(s, _MIXED_WORD, F.length))
         return F.transform(
             mixed,
             lambda w: let(
