@@ -17,6 +17,8 @@ from checks.planted import (
     SECRET_NAMES,
     SOURCES,
     SUFFIX_LINE,
+    TREE_KEPT,
+    TREE_PATH,
 )
 
 
@@ -609,10 +611,22 @@ def statements() -> dict[str, str]:
         ),
         "page_findings": on_docs("SELECT id AS page_id, kind, severity, line, detail FROM ranked", *ALL, table="pages"),
         "page_report": on_docs(f"SELECT id AS page_id, {report_columns} FROM lit", *ALL, REPORT, table="pages"),
-        "stored_findings": on_docs("SELECT id AS doc_id, kind, line, detail FROM all_found WHERE severity = 'high'", *ALL),
+        "stored_findings": on_docs("SELECT id AS doc_id, severity, kind, line, detail FROM all_found", *ALL),
         "stream_scan": on_docs(
             'SELECT id AS doc_id, kind, severity, title_key, line, col AS "column", detail, rec_key FROM all_found', *ALL
         ),
+        "stream_code_scan": on_code(
+            """SELECT o_orderkey, CASE WHEN kind LIKE 'unicode%' THEN 0 WHEN kind = 'watermark' THEN 4 ELSE 5 END::TINYINT AS detector,
+ kind, severity, line, col AS "column" FROM code_found"""
+        ),
+        "stream_counters": on_code(
+            """SELECT count(*) AS files_scanned, count(*) FILTER (n_findings > 0) AS files_with_issues, sum(n_findings)::BIGINT AS total_findings,
+ sum(threats)::BIGINT AS threats, sum(author_marks)::BIGINT AS author_marks, sum(threats) > 0 AS has_threats FROM code_report""", CODE_REPORT,
+        ),
+        "source_tree_report": on_code(
+            f"""SELECT {TREE_PATH} AS path, 'utf-8' AS encoding, NULL::VARCHAR AS error, {report_columns}
+ FROM code_lit WHERE {TREE_KEPT}""", CODE_REPORT,
+        ),
     }
     for name in SECRET_NAMES:
         found[f"secrets_{name}"] = on_docs(

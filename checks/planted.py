@@ -164,3 +164,13 @@ def py_sources(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("utf-8").alias("encoding"),
         F.expr(CODE_TEXT).alias("text"),
     )
+
+
+# Where the program of an order lies in a tree: names that are kept, and ones that are not.
+TREE_PATH = (
+    f"'p' || cast(o_orderkey % 7 as string) || '/' || CASE o_orderkey % 9 WHEN 0 THEN 'd' || {_KEY} || '/__init__.py' "
+    f"WHEN 1 THEN {_KEY} || '.h.py' WHEN 2 THEN {_KEY} || '.PYW' WHEN 3 THEN 'build/' || {_KEY} || '.py' "
+    f"WHEN 4 THEN {_KEY} || '.txt' WHEN 5 THEN 'building/x.py.d/' || {_KEY} || '.py' "
+    f"WHEN 6 THEN 'a/.git/b/' || {_KEY} || '.py' ELSE '_' || {_KEY} || '.py' END"
+)
+TREE_KEPT = "o_orderkey % 9 NOT IN (3, 4, 6)"

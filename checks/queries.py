@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.planted import PLANTED_TEXT, SECRET_NAMES, planted, py_sources, table
+from checks.planted import CODE_TEXT, PLANTED_TEXT, SECRET_NAMES, TREE_PATH, planted, py_sources, table
 from veilscan.functions.charclass import (
     char_name,
     classify,
@@ -44,10 +44,16 @@ from veilscan.plans import render, reports
 from veilscan.plans.scan import detector_findings, explode_findings, scan
 from veilscan.session import shared_folder
 from veilscan.sources.decode import decode_sources
-from veilscan.sources.sinks import cleaned, cleaned_path, stage, write_findings
+from veilscan.sources.sinks import cleaned, cleaned_path, stage, write_files, write_findings
 from veilscan.sources.tables import texts
-from veilscan.sources.tree import in_ignored_dir, is_python_path
-from veilscan.streaming.live import stream_findings, stream_texts, write_stream
+from veilscan.sources.tree import in_ignored_dir, is_python_path, read_tree
+from veilscan.streaming.live import (
+    stream_corpus,
+    stream_findings,
+    stream_texts,
+    write_counters,
+    write_stream,
+)
 
 FLAT = ["kind", "severity", "title_key", "line", "column", "detail", "rec_key"]
 
@@ -371,6 +377,18 @@ def tree_paths(spark, folder):
     return paths.where(kept)
 
 
+def source_tree_report(spark, folder):
+    """Files to report: programs written as a tree, listed, read, decoded and scanned."""
+    top = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    programs = table(spark, folder, "orders").select(
+        F.expr(TREE_PATH).alias("path"), F.expr(CODE_TEXT).alias("text")
+    )
+    write_files(programs, top)
+    report = reports.file_report(scan(decode_sources(read_tree(spark, top))))
+    below = F.expr(f"substring(path, {len(top) + 2})")
+    return report.select(below.alias("path"), "encoding", "error", *REPORT)
+
+
 def conversation_findings(spark, folder):
     source = planted(spark, folder, "conversations").select(
         F.expr("doc_id div 1000").alias("conv_id"), F.expr("doc_id % 1000").alias("turn"), "text"
@@ -407,12 +425,34 @@ def stream_scan(spark, folder):
     return spark.read.parquet(out)
 
 
+def _streamed_code(spark, folder):
+    arriving = stream_texts(spark, folder, "o_orderkey bigint", "orders.parquet")
+    return arriving.select("o_orderkey", F.expr(CODE_TEXT).alias("text"))
+
+
+def stream_code_scan(spark, folder):
+    """All six detectors over a stream of programs, into Parquet and read back."""
+    name = f"code-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/{name}"
+    found = stream_findings(_streamed_code(spark, folder))
+    columns = ["o_orderkey", "detector", "kind", "severity", "line", "column"]
+    write_stream(found.select(*columns), out, name).awaitTermination()
+    return spark.read.parquet(out)
+
+
+def stream_counters(spark, folder):
+    """Running corpus counters of a stream of programs, as they stand after its last batch."""
+    name = f"counters-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark)}/{name}"
+    write_counters(stream_corpus(_streamed_code(spark, folder)), out, name).awaitTermination()
+    return spark.read.parquet(out)
+
+
 def stored_findings(spark, folder):
-    """The findings sink: written by severity, read back with one partition pruned to."""
+    """The findings sink: written by severity, all of it read back."""
     out = f"{shared_folder(spark)}/findings-{uuid.uuid4().hex}"
     write_findings(explode_findings(scanned_docs(spark, folder), "doc_id"), out)
-    stored = spark.read.parquet(out).where(F.col("severity") == "high")
-    return stored.select("doc_id", "kind", "line", "detail")
+    return spark.read.parquet(out).select("doc_id", "severity", "kind", "line", "detail")
 
 
 def registry():
@@ -470,6 +510,9 @@ def registry():
         "page_report": page_report,
         "stored_findings": stored_findings,
         "stream_scan": stream_scan,
+        "stream_code_scan": stream_code_scan,
+        "stream_counters": stream_counters,
+        "source_tree_report": source_tree_report,
     }
     for name in SECRET_NAMES:
         found[f"secrets_{name}"] = detector(docs, "doc_id", lambda t, n=name: token_findings(t, n))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +62,27 @@ def write_cleaned(
 def write_text_report(report: DataFrame, folder: str, mode: str = "errorifexists") -> None:
     """A report whose rows are ordered text blocks, as plain text files in that order."""
     report.select("value").write.mode(mode).text(folder)
+
+
+def write_files(texts: DataFrame, folder: str, path: str = "path", text: str = "text") -> DataFrame:
+    """Texts as files below `folder`, written by the tasks; returns the stored list of files.
+
+    A task that runs again writes the same files again. NULL texts become empty files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = "://" not in folder and not folder.startswith("file:")
+        system, top = (fs.LocalFileSystem(), folder) if local else fs.FileSystem.from_uri(folder)
+        made = set()
+        for batch in batches:
+            for name, value in zip(batch.column(0), batch.column(1)):
+                place = f"{top}/{name.as_py()}"
+                parent = place.rsplit("/", 1)[0]
+                if parent not in made:
+                    system.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with system.open_output_stream(place) as file:
+                    file.write((value.as_py() or "").encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["path"])
+
+    return stage(texts.select(path, text).mapInArrow(run, "path string"))

@@ -33,10 +33,34 @@ def stream_findings(
 
 
 def stream_corpus(
-    texts: DataFrame, text: str = "text", marks: MarkStyle = DEFAULT_MARKS
+    texts: DataFrame,
+    text: str = "text",
+    marks: MarkStyle = DEFAULT_MARKS,
+    detectors: dict[str, Detector] | None = None,
+    python_code: bool = True,
 ) -> DataFrame:
     """Running corpus counters of a stream; complete mode, one row of state."""
-    return corpus_report(file_report(scan(texts, text, marks=marks)))
+    options = {"marks": marks, "detectors": detectors, "python_code": python_code}
+    return corpus_report(file_report(scan(texts, text, **options)))
+
+
+def write_counters(
+    counters: DataFrame, folder: str, name: str, checkpoint: str | None = None
+) -> StreamingQuery:
+    """Replace the counters in `folder` after every batch until the input is used up."""
+    place = checkpoint or f"{shared_folder(counters.sparkSession)}/streams/{name}"
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(folder)
+
+    return (
+        counters.writeStream.queryName(name)
+        .outputMode("complete")
+        .foreachBatch(replace)
+        .option("checkpointLocation", place)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def write_stream(
