@@ -101,6 +101,23 @@ def test_groups(spark):
     assert sorted(names) == sorted({str(c) for c in grouped(prints)})
 
 
+def test_groups_without_own_ids(spark):
+    """Each group keeps one row of its own, if ids are null or stand on unrelated texts."""
+    made = random.Random(9)
+    texts = [" ".join(f"t{i}x{made.randrange(500)}" for _ in range(80)) for i in range(8)]
+    ids = [
+        (None, 0), (None, 1), (None, 2), (None, 2),  # groups without any id
+        (70, 3), (None, 3),  # a copy without an id
+        (5, 4), (5, 5), (9, 5), (5, 5),  # an id on two unrelated texts, the smallest of both
+        (6, 6), (5, 6), (6, 7),  # an id that one group keeps and another one drops
+    ]
+    rows = [(i, texts[t], "", "", 0, 0, 0, "") for i, t in ids] + [(8, None, "", "", 0, 0, 0, "")]
+    kept = [(r.doc_id, r.text) for r in simhash.one_of_each(odd(spark, rows)).collect()]
+    names = [None, None, None, 70, 5, 5, 5, 6]
+    assert sorted(kept, key=str) == sorted([*zip(names, texts), (8, None)], key=str)
+    assert len({r.root for r in simhash.near_duplicates(odd(spark, rows)).collect()}) == 9
+
+
 def test_dense_chains(spark):
     """Chains of fingerprints, a few bits apart, across cells and tiles."""
     made = random.Random(6)

@@ -221,22 +221,8 @@ def components(edges: DataFrame) -> DataFrame:
     return members.union(members.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS
-) -> DataFrame:
-    """`(key, print, component)` per row of `docs`: fingerprint and smallest id reachable.
-
-    A-Z are lower-cased, words are runs without the six ASCII blanks, and a shingle is three
-    words with a space between; repeats count. A bit is set if it is in more than half of the
-    64-bit hashes. Fingerprints link at `radius` or fewer different bits, and links connect.
-
-    Texts of one or two words are one shingle. Null texts and texts without words have
-    fingerprint 0 and link like all others. Rows that repeat an id keep their own fingerprints.
-    A row without an id belongs to its component; a component of such rows alone has no id.
-    An empty table gives an empty table.
-    """
-    prints = docs.select(column(key).alias("key"), fingerprint(column(text)).alias("print"))
-    prints = stored(prints, "prints")
+def _grouped(prints: DataFrame, radius: int) -> DataFrame:
+    """The rows of `prints` with `component` and `root`: least `key` and least `print` reachable."""
     nodes = prints.groupBy("print").agg(F.min("key").alias("first"))
     nodes = stored(nodes, "distinct-prints")
     found = stored(components(links(nodes.select("print"), radius)), "components")
@@ -251,29 +237,57 @@ def near_duplicates(
     )
     named = stored(
         rooted.select(
-            F.col("print").alias("its_print"), F.coalesce("least", "first").alias("component")
+            F.col("print").alias("its_print"),
+            F.coalesce("least", "first").alias("component"),
+            F.coalesce("root", "print").alias("root"),
         ),
         "named-prints",
     )
-    return prints.join(named, F.col("print") == F.col("its_print")).select(
-        F.col("key").alias(key), "print", "component"
-    )
+    return prints.join(named, F.col("print") == F.col("its_print")).drop("its_print")
+
+
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS
+) -> DataFrame:
+    """`(key, print, component, root)` per row of `docs`: fingerprint, smallest id reachable, and
+    the smallest fingerprint reachable, which numbers the groups whatever ids their rows have.
+
+    A-Z are lower-cased, words are runs without the six ASCII blanks, and a shingle is three
+    words with a space between; repeats count. A bit is set if it is in more than half of the
+    64-bit hashes. Fingerprints link at `radius` or fewer different bits, and links connect.
+
+    Texts of one or two words are one shingle. Null texts and texts without words have
+    fingerprint 0 and link like all others. Rows that repeat an id keep their own fingerprints.
+    A row without an id belongs to its component; a component of such rows alone has no id.
+    An empty table gives an empty table.
+    """
+    prints = docs.select(column(key).alias("key"), fingerprint(column(text)).alias("print"))
+    found = _grouped(stored(prints, "prints"), radius)
+    return found.select(F.col("key").alias(key), "print", "component", "root")
 
 
 def one_of_each(
     docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS
 ) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each group, the smallest id stays.
+    """The rows of `docs` without near-duplicates: of each group, one row with its smallest id.
 
-    Of rows that repeat this id one stays; of a group of rows without ids, one.
+    Of a group's rows with this id, or of a group of rows without ids, the text with the
+    smallest SHA-256 stays, a null text last. Rows are met again by id and text: equal texts
+    are always of one group, so no group takes a row of another one that repeats its id.
     """
-    found = near_duplicates(docs, key, text, radius)
-    keeper, kept_print = fresh(docs, "_keeper"), fresh(docs, "_kept")
+    digest = F.sha2(column(text).cast("binary"), 256)
+    prints = docs.select(
+        column(key).alias("key"), fingerprint(column(text)).alias("print"), digest.alias("digest")
+    )
+    found = _grouped(stored(prints, "prints"), radius)
+    kept_key, kept_digest = fresh(docs, "_keeper"), fresh(docs, "_kept")
     keepers = (
-        found.where(F.col(key).eqNullSafe(F.col("component")))
-        .groupBy(F.col(key).alias(keeper))
-        .agg(F.min("print").alias(kept_print))
+        found.where(F.col("key").eqNullSafe(F.col("component")))
+        .groupBy("root")
+        .agg(F.min("key").alias(kept_key), F.min("digest").alias(kept_digest))
+        .drop("root")
     )
     keepers = stored(keepers, "keepers")
-    joined = docs.join(keepers, column(key).eqNullSafe(column(keeper)))
-    return joined.dropDuplicates([key]).select(*[column(c) for c in docs.columns])
+    same = column(key).eqNullSafe(column(kept_key)) & digest.eqNullSafe(column(kept_digest))
+    joined = docs.join(keepers, same).dropDuplicates([kept_key, kept_digest])
+    return joined.select(*[column(c) for c in docs.columns])
