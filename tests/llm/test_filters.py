@@ -1,7 +1,9 @@
 """Compression bands and language identification."""
 
+import base64
 import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -52,6 +54,35 @@ def test_bands(words):
     assert not judge(repeats)[6]
 
 
+@pytest.mark.parametrize("noise", ["base64", "words"])
+def test_encoded_passages(noise):
+    made = random.Random(8)
+    names = ["".join(made.choice("etaoinshrdlu") for _ in range(made.randint(2, 8))) for _ in range(2000)]
+    letters = string.ascii_letters + string.digits
+
+    def prose(size):
+        return " ".join(made.choice(names) for _ in range(size // 3))[:size]
+
+    def dense(size):
+        if noise == "base64":
+            return base64.encodebytes(made.randbytes(size)).decode()[:size]
+        return " ".join("".join(made.choices(letters, k=made.randint(4, 10))) for _ in range(size // 4))[:size]
+
+    judge = compression.judge()
+    for size in (5000, 12_000, 100_000):
+        assert judge(prose(size))[6]
+    for share in (30, 60, 80):
+        part = share * 1000
+        assert not judge(prose(100_000 - part) + "\n" + dense(part))[6]
+        assert not judge(prose(10_000) + "\n" + dense(part) + "\n" + prose(90_000 - part))[6]
+    assert not judge(prose(8192) + dense(4000))[6]  # in the rest behind the last whole chunk
+    coded = base64.b64encode(made.randbytes(1200)).decode()
+    short = " ".join(coded[i : i + 20] for i in range(0, 1600, 20))
+    assert len(short) == 1679 and not judge(short)[6]
+    assert judge(prose(8192 + 511))[9] == 2 and judge(prose(8192 + 512))[9] == 3
+    assert judge(prose(4095))[9] == 0
+
+
 def test_repeated_windows_by_definition():
     made = random.Random(5)
     for _ in range(300):

@@ -2,7 +2,12 @@
 
 A ratio is compressed bytes by raw bytes. Repetitive text falls below the band of its length,
 random or encoded bytes rise above it. Short texts compress worse, so every length has limits
-of its own; the limits leave a wide margin around what prose in any alphabet reaches.
+of its own. The upper limits lie between the largest ratios measured of texts in some 200
+languages (message catalogues, lists of names among them) and the least of random bytes as
+base64 or as alphanumeric words: at 4,096 bytes 0.65 and 0.73, at 2,048 bytes 0.71 and 0.74.
+At 1,024 bytes lists of Chinese names reach 0.83 and base64 has 0.80: from there to 1,535 bytes
+only base64 is above the limit, with the densest such lists; shorter texts cannot be told apart.
+Hexadecimal digits (0.52) and encoded lines scattered in prose compress like prose.
 """
 
 from __future__ import annotations
@@ -24,13 +29,14 @@ BLANK_BYTES = b" \t\n\x0b\x0c\r"
 class Bands:
     """Limits by length; a text of at least `from_bytes[i]` bytes has `low[i]` and `high[i]`."""
 
-    from_bytes: tuple[int, ...] = (0, 128, 512, 2048, 8192, 32768)
-    low: tuple[float, ...] = (0.40, 0.35, 0.30, 0.27, 0.24, 0.20)
-    high: tuple[float, ...] = (2.00, 1.00, 0.85, 0.75, 0.72, 0.72)
+    from_bytes: tuple[int, ...] = (0, 128, 512, 1024, 1536, 2048, 4096, 8192, 32768)
+    low: tuple[float, ...] = (0.40, 0.35, 0.30, 0.30, 0.30, 0.27, 0.27, 0.24, 0.20)
+    high: tuple[float, ...] = (2.00, 1.00, 0.85, 0.78, 0.74, 0.73, 0.69, 0.65, 0.62)
     chunk_bytes: int = 4096
     chunk_low: float = 0.22
-    chunk_high: float = 0.78
-    most_bad_chunks: float = 0.5
+    chunk_high: float = 0.69
+    least_chunk_bytes: int = 512  # a shorter rest belongs to the chunk before it
+    most_bad_chunks: float = 0.2
     level: int = 3
 
     def limits(self, size: int) -> tuple[float, float]:
@@ -84,14 +90,21 @@ def judge(bands: Bands = DEFAULT_BANDS):
     compressor = zstandard.ZstdCompressor(level=bands.level)
 
     def chunk_counts(data: bytes) -> tuple[int, int, int]:
-        """Whole chunks only: what remains at the end is part of the document's own ratio."""
-        low = high = total = 0
-        for start in range(0, len(data) - bands.chunk_bytes + 1, bands.chunk_bytes):
-            piece = data[start : start + bands.chunk_bytes]
+        """Of texts from one chunk on; a rest is the last chunk, with the limits of its length."""
+        low = high = total = start = 0
+        while start < len(data) and len(data) >= bands.chunk_bytes:
+            end = start + bands.chunk_bytes
+            if len(data) - end < bands.least_chunk_bytes:
+                end = len(data)
+            piece = data[start:end]
+            least, most = bands.chunk_low, bands.chunk_high
+            if len(piece) < bands.chunk_bytes:
+                least, most = bands.limits(len(piece))
             ratio = len(compressor.compress(piece)) / len(piece)
             total += 1
-            low += ratio < bands.chunk_low
-            high += ratio > bands.chunk_high
+            low += ratio < least
+            high += ratio > most
+            start = end
         return total, low, high
 
     def one(text: str | None) -> tuple:
@@ -124,7 +137,7 @@ def compression_rules(
     `base_failed` holds for fewer than 50 words, or if more than half of the words lie in
     three-word windows that the text repeats. `kept` asks for the base rules, a ratio of the
     whole text within the limits of its length, and no more than `most_bad_chunks` of its
-    whole chunks outside the chunk limits. A text shorter than a chunk has no chunks.
+    chunks outside their limits. Every byte is in a chunk, but a text shorter than a chunk has none.
 
     Null and empty texts have no words, no ratio, and fail. Ids are passed through, null or
     repeated as they are. An empty table gives an empty table. The work on a text grows in
