@@ -10,7 +10,8 @@ one character and carries the number of tokens it emits, which is negative where
 join tokens that were counted apart.
 
 Chunks of a text become maps from the state before to the state after and a count, and the
-maps of all chunks are composed by a parallel prefix scan. A map is constant behind the first
+maps of all chunks are composed in pairs, one after the other in the task that holds the text:
+a serial reduction, without results for prefixes. A map is constant behind the first
 place where no token can cross, so it is kept as the characters up to there, and the state and
 count behind.
 """
