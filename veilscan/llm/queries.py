@@ -13,6 +13,7 @@ from veilscan.llm import (
     bpe,
     compression,
     counts,
+    fim,
     langid,
     lines,
     mixing,
@@ -95,6 +96,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", digest)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(_table(sf_dir, "documents", spark))
+    again = fim.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(again.cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -107,4 +118,5 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_content_archive": op8_content_archive,
         "op9_weighted_mix": op9_weighted_mix,
         "op10_line_dedup": op10_line_dedup,
+        "op11_fill_in_middle": op11_fill_in_middle,
     }

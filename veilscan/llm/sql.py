@@ -108,6 +108,37 @@ WITH vector AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+_DRAW = "('0x' || substr(sha256('1:' || doc_id::VARCHAR), {0}, 8))::BIGINT"
+OP11_FIM = f"""
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens,
+        {_DRAW.format(1)} AS h1, {_DRAW.format(9)} AS h2, {_DRAW.format(17)} AS h3, {_DRAW.format(25)} AS h4
+    FROM documents
+), placed AS (
+    SELECT *, len(tokens)::BIGINT AS n,
+        least(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS first,
+        greatest(h1 % (len(tokens) + 1), h2 % (len(tokens) + 1)) AS last,
+        CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain'
+            WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM cut
+), parted AS (
+    SELECT doc_id, text, n, form,
+        array_to_string(tokens[1:first], '') AS prefix,
+        array_to_string(tokens[first + 1:last], '') AS middle,
+        array_to_string(tokens[last + 1:], '') AS suffix
+    FROM placed
+)
+SELECT doc_id, n, form,
+    CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text
+        WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parted
+"""
+
 
 def statements() -> dict[str, str]:
     return {
@@ -115,4 +146,5 @@ def statements() -> dict[str, str]:
         "op8_content_archive": OP8_WARC,
         "op9_weighted_mix": OP9_MIX,
         "op10_line_dedup": OP10_LINES,
+        "op11_fill_in_middle": OP11_FIM,
     }
