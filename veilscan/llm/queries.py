@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilscan.llm import (
     archive,
+    automaton,
     bpe,
     compression,
     counts,
@@ -25,6 +26,7 @@ from veilscan.llm import (
 
 LIBRARY_TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
+WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
 END_ID = 2
 
@@ -106,6 +108,18 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(WORD_TOKENIZER)
+    coded = automaton.encode_documents(_table(sf_dir, "documents", spark), path)
+    decimals = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(decimals.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -119,4 +133,5 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_weighted_mix": op9_weighted_mix,
         "op10_line_dedup": op10_line_dedup,
         "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_bpe_automaton": op12_bpe_automaton,
     }
