@@ -22,6 +22,7 @@ from veilscan.llm import (
     simhash,
     token_files,
     topk,
+    whitening,
 )
 
 LIBRARY_TOKENIZER = "byte_bpe_50k.json"
@@ -120,6 +121,11 @@ def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whitening.whiten(_table(sf_dir, "embeddings", spark))
+    return done.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -134,4 +140,5 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_dedup": op10_line_dedup,
         "op11_fill_in_middle": op11_fill_in_middle,
         "op12_bpe_automaton": op12_bpe_automaton,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
