@@ -11,16 +11,16 @@ and an arc is there if the gadgets that it was copied through left it: the arcs
 of the arcs `a`, and the target of `w` is a copy of the target of `b`, as they stood when `w`
 was made. The table of transitions is filled from this when an entry is first used.
 
-Of a word, every prefix has one sequence that the automaton reads, hence one live state. The
-characters drive it through a trie of the labels: from each position, the labels that begin
-there and that the table allows lead to the positions behind them.
+Of a word, every prefix has one sequence that the automaton reads at most, so a position has one
+live state. The characters drive it through a trie of the labels: from a position, the labels
+that begin there and that the table allows lead to the positions behind them, until one of them
+is the end of the word.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -111,35 +111,51 @@ class WordCoder:
             for ch in token[: len(token) - len(suffix)] if last else token:
                 node = node[0].setdefault(ch, [{}, -1, -1])
             node[1 + last] = vocabulary[token]
-        self._suffix = suffix
+        self._closing = 2 if suffix else 1
+        self._whole = {t[: len(t) - len(suffix)]: vocabulary[t] for t in usable if t.endswith(suffix)}
+
+    def _labels_at(self, word: str, i: int) -> list[tuple[int, int]]:
+        """Labels that begin at a position, short ones first, and the positions behind them."""
+        found, node, last = [], self._root, len(word) - 1
+        for j in range(i, last):
+            node = node[0].get(word[j])
+            if node is None:
+                return found
+            if node[1] >= 0:
+                found.append((node[1], j + 1))
+        node = node[0].get(word[last])
+        if node is not None and node[self._closing] >= 0:
+            found.append((node[self._closing], last + 1))
+        return found
 
     def encode(self, word: str) -> list[int]:
-        """Ids of one word, which must not be empty."""
-        n = len(word)
-        behind = array("i", [-1]) * (n + 1)  # the label that ends at a position
-        length = array("i", [0]) * (n + 1)
-        closing = 2 if self._suffix else 1
-        allows = self.automaton.allows
-        for i in range(n):
-            u = behind[i]
-            if i and u < 0:
+        """Ids of one word, which must not be empty.
+
+        A position is reached by one sequence at most, so the walk, long labels first, comes to
+        each position once, whatever it has to take back.
+        """
+        whole = self._whole.get(word)
+        if whole is not None:
+            return [whole]
+        n, allows = len(word), self.automaton.allows
+        ids: list[int] = []
+        left: list[list[tuple[int, int]]] = []
+        options = self._labels_at(word, 0)
+        while True:
+            if not options:
+                if not ids:
+                    raise ValueError("a word with a character that the vocabulary does not have")
+                ids.pop()
+                options = left.pop()
                 continue
-            node = self._root
-            for j in range(i, n):
-                node = node[0].get(word[j])
-                if node is None:
-                    break
-                t = node[1] if j < n - 1 else node[closing]
-                if t >= 0 and (not i or allows(u, t)):
-                    behind[j + 1] = t
-                    length[j + 1] = j + 1 - i
-        if behind[n] < 0:
-            raise ValueError("a word with a character that the vocabulary does not have")
-        ids = []
-        while n:
-            ids.append(behind[n])
-            n -= length[n]
-        return ids[::-1]
+            t, end = options.pop()
+            if ids and not allows(ids[-1], t):
+                continue
+            ids.append(t)
+            if end == n:
+                return ids
+            left.append(options)
+            options = self._labels_at(word, end)
 
 
 class Coder:
@@ -168,7 +184,7 @@ class Coder:
         self._split = library.pre_tokenizer.pre_tokenize_str
         longest_first = sorted(map(re.escape, self._special), key=len, reverse=True)
         self._marks = re.compile("(" + "|".join(longest_first) + ")") if added else None
-        self._known = Cache(cached_chars)
+        self._known = Cache(cached_chars, twice=False)
 
     def _plain(self, text: str) -> Iterator[bytes]:
         """Ids of a text without special tokens; no word holds a space."""
