@@ -7,7 +7,7 @@ starts only after the texts are gone.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ from veilscan.operators.watermark import (
     may_have_marked_comment,
 )
 from veilscan.model import no_findings
+from veilscan.plans.isolate import isolated
 
 Detector = Callable[[Column], Column]
 
@@ -87,15 +88,23 @@ def scan(
     detectors: dict[str, Detector] | None = None,
     python_code: bool = True,
     keep_text: bool = False,
+    isolate: Collection[str] | None = None,
 ) -> DataFrame:
     """Add the ordered `findings` array to every row; the text itself is dropped by default.
 
     A NULL text (an unreadable source) has no findings. Works on batch and streaming tables.
+    The detectors named by `isolate` may fail on a text and leave a `detector_error` there; by
+    default all but the detectors of this library, whose expressions raise on no text.
     """
     body = F.col(text)
-    chosen = text_detectors(marks) if detectors is None else detectors
+    own = text_detectors(marks)
+    chosen = own if detectors is None else detectors
+    apart = chosen.keys() - own.keys() if isolate is None else set(isolate)
     staged = sources
-    parts = [detect(body) for detect in chosen.values()]
+    parts = [
+        isolated(name, detect(body), body) if name in apart else detect(body)
+        for name, detect in chosen.items()
+    ]
     if python_code:
         staged = sources.withColumn("_facts", code_facts(body, may_have_marked_comment(body)))
         comments = comment_findings(F.col("_facts.comments"))
