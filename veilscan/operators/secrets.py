@@ -83,13 +83,14 @@ def may_hold(text: Column, name: str) -> Column:
 
 
 def _shape_table(names: tuple[str, ...]) -> Column:
-    """The chosen token shapes as an array literal `(name, pattern, severity, literal)`."""
+    """The chosen token shapes as an array literal `(name, pattern, severity, literal, hint)`."""
     rows = [
         F.struct(
             F.lit(name).alias("name"),
             F.lit(pattern).alias("pattern"),
             F.lit(severity).alias("severity"),
             F.lit(_LITERALS[name]).alias("literal"),
+            F.lit(_HINTS.get(name)).cast("string").alias("hint"),
         )
         for name, pattern, severity in SECRET_PATTERNS
         if not names or name in names
@@ -100,6 +101,10 @@ def _shape_table(names: tuple[str, ...]) -> Column:
 def token_findings(text: Column, *names: str) -> Column:
     """Matches of the named token shapes (default: all), in table order; overlaps are kept."""
 
+    def worth_a_look(shape: Column) -> Column:
+        hinted = shape.hint.isNull() | F.rlike(text, shape.hint)
+        return text.contains(shape.literal) & hinted
+
     # Shapes outside, lines inside: Spark compiles a pattern again only when it changes.
     def hits(lines: Column, shape: Column) -> Column:
         return F.flatten(
@@ -116,7 +121,7 @@ def token_findings(text: Column, *names: str) -> Column:
         numbered_lines(text),
         lambda lines: F.flatten(
             F.transform(
-                F.filter(_shape_table(names), lambda shape: text.contains(shape.literal)),
+                F.filter(_shape_table(names), worth_a_look),
                 lambda shape: hits(lines, shape),
             )
         ),
