@@ -77,6 +77,59 @@ def severity_histogram(findings: DataFrame) -> DataFrame:
     return findings.groupBy("kind", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def drill_down(findings: DataFrame, path: str = "path", depth: int = 2) -> DataFrame:
+    """Findings by folder, kind and severity, at every level of detail, in one result.
+
+    `(level, folder, kind, severity, level_of, n, threats, max_rank)`: a row for each folder of
+    the first `depth` levels, and for the whole (level 0, folder NULL), each by kind and
+    severity, by one of them, and by neither. `level_of` is the grouping id: bit 1 is set where
+    all kinds are summed, bit 0 where all severities are. A NULL kind or path counts as one of
+    its own. Files that lie higher than a level stand under their own folder there.
+
+    Findings are counted once by their finest group; the levels add up those counts.
+    """
+    parts = F.split(path, "/")
+    folders = [
+        F.array_join(F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.least(F.size(parts) - 1, F.lit(i)))), "/")
+        for i in range(1, depth + 1)
+    ]
+    names = [f"_folder{i}" for i in range(1, depth + 1)]
+    rank = F.col("severity_rank")
+    finest = findings.groupBy(
+        *[f.alias(n) for f, n in zip(folders, names)], "kind", "severity"
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(rank >= THREAT_RANK).alias("threats"),
+        F.max(rank).alias("max_rank"),
+    )
+    kind, severity = F.col("kind"), F.col("severity")
+    columns = [F.col(n) for n in names]
+    sets = [
+        columns[:level] + extra
+        for level in range(depth + 1)
+        for extra in ([kind, severity], [kind], [severity], [])
+    ]
+    sums = finest.groupingSets(sets, *columns, kind, severity).agg(
+        F.sum("n").alias("n"),
+        F.sum("threats").alias("threats"),
+        F.max("max_rank").cast("int").alias("max_rank"),
+        F.grouping_id().alias("_id"),
+    )
+    # In the grouping id the folders stand before kind and severity, the first one highest.
+    summed = F.bit_count(F.shiftright("_id", 2)).cast("int")
+    level = F.lit(depth) - summed
+    return sums.select(
+        level.alias("level"),
+        F.get(F.array(*columns), level - 1).alias("folder"),
+        "kind",
+        "severity",
+        (F.col("_id") % 4).cast("int").alias("level_of"),
+        "n",
+        "threats",
+        "max_rank",
+    )
+
+
 def flagged(reports: DataFrame) -> DataFrame:
     """Sources with at least one finding, of any severity."""
     return reports.where(F.col("n_findings") > 0)
