@@ -389,17 +389,24 @@ def source_tree_report(spark, folder):
     return report.select(below.alias("path"), "encoding", "error", *REPORT)
 
 
-def conversation_findings(spark, folder):
-    source = planted(spark, folder, "conversations").select(
+def conversations(spark, folder):
+    return dealt(planted(spark, folder, "conversations")).select(
         F.expr("doc_id div 1000").alias("conv_id"), F.expr("doc_id % 1000").alias("turn"), "text"
     )
+
+
+def pages(spark, folder):
+    return dealt(planted(spark, folder, "pages")).select(F.col("doc_id").alias("page_id"), "text")
+
+
+def conversation_findings(spark, folder):
+    source = conversations(spark, folder)
     found = explode_findings(scan(texts(source, "text", "conv_id", "turn"), python_code=False))
     return found.select("conv_id", "turn", "kind", "severity", "line", "detail")
 
 
 def scanned_pages(spark, folder):
-    source = planted(spark, folder, "pages").select(F.col("doc_id").alias("page_id"), "text")
-    return scan(texts(source, "text", "page_id"), python_code=False)
+    return scan(texts(pages(spark, folder), "text", "page_id"), python_code=False)
 
 
 def page_findings(spark, folder):
