@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -53,6 +54,46 @@ def test_shared_lines(spark):
     assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.text) for r in mine) == deduped(rows)
 
 
+def test_many_lines_in_linear_time(spark):
+    """Two copies of very many lines, with lines of their own in between; twice as many take about twice as long."""
+    times = []
+    for n in (100_000, 200_000, 400_000):
+        shared = [f"shared line number {i}" for i in range(n)]
+        own = [x for i, line in enumerate(shared) for x in ((line, f"own line number {i}") if i % 3 == 0 else (line,))]
+        rows = [(1, "\n".join(shared), "", "", 0, 0, 0, ""), (2, "\n".join(own), "", "", 0, 0, 0, "")]
+        start = time.perf_counter()
+        found = {r.doc_id: r for r in lines.drop_repeated_lines(odd(spark, rows)).collect()}
+        times.append(time.perf_counter() - start)
+        assert found[2].text == "\n".join(x for x in own if x.startswith("own")) and found[2].n_dropped == n
+        assert found[1].text == rows[0][1] and found[1].n_dropped == 0
+    assert times[2] < 3 * times[1] + 2, times
+
+
+def test_a_line_of_every_document_is_split(spark):
+    """The lines of a hot hash may go to several tasks: both sides of the join are plain exchanges."""
+    rows = [(i, f"the very same line\nown {i % 7} of a document", "", "", 0, 0, 0, "") for i in range(3000)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+    }
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        docs = odd(spark, rows).repartition(8)
+        held = lines.drop_repeated_lines(docs)
+        assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.text) for r in held.collect()) == deduped(rows)
+        found = lines.lost_lines(docs)
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def plain_print(text):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in "".join(" " if c in BLANKS else c for c in words).split(" ") if w]
