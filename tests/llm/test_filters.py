@@ -1,12 +1,14 @@
 """Compression bands and language identification."""
 
 import base64
+import math
 import random
 import re
 import string
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
+import zstandard
 
 from helpers import LONG, empty, odd, odd_rows
 from veilscan.llm import compression, langid
@@ -83,6 +85,74 @@ def test_encoded_passages(noise):
     assert judge(prose(4095))[9] == 0
 
 
+def plain_verdicts(rows, bands=compression.DEFAULT_BANDS):
+    """The verdict of every text, written out from the definition."""
+    judged = []
+    for key, text in rows:
+        data = (text or "").encode()
+        failed = base(text)[5]
+        ratio = len(zstandard.compress(data, bands.level)) / len(data) if data else None
+        pieces = [data[i : i + 4096] for i in range(0, len(data), 4096)] if len(data) >= 4096 else []
+        if len(pieces) > 1 and len(pieces[-1]) < 512:
+            pieces[-2:] = [pieces[-2] + pieces[-1]]
+        bad = 0
+        for piece in pieces:
+            found = len(zstandard.compress(piece, bands.level)) / len(piece)
+            low, high = (bands.chunk_low, bands.chunk_high) if len(piece) >= 4096 else bands.limits(len(piece))
+            bad += not low <= found <= high
+        fixed = False
+        if not failed:
+            low, high = bands.limits(len(data))
+            fixed = low <= ratio <= high and bad <= 0.2 * len(pieces)
+        wide = sum(b > 127 for b in data) / max(len(data), 1)
+        place = (int(math.log2(len(data)) * 2) if data else 0, sum(wide >= x for x in bands.wide_shares))
+        judged.append((key, failed, fixed, ratio, place))
+    classes = defaultdict(list)
+    for _, _, fixed, ratio, place in judged:
+        if fixed:
+            classes[place].append(math.floor(ratio * 2000))
+    limits = {}
+    for place, bins in classes.items():
+        if len(bins) >= bands.least_documents:
+            middle = sorted(bins)[(len(bins) - 1) // 2]
+            away = sorted(abs(b - middle) for b in bins)[(len(bins) - 1) // 2]
+            spread = 4.5 * max(1.4826 * away, 0.01 * middle)
+            limits[place] = (middle - spread, middle + spread)
+    return {
+        key: (failed, fixed and (place not in limits or limits[place][0] <= math.floor(ratio * 2000) <= limits[place][1]))
+        for key, failed, fixed, ratio, place in judged
+    }
+
+
+def planted_corpus():
+    """Prose of two scripts and many lengths; every twentieth text is junk that passes the other rules."""
+    made = random.Random(11)
+    words = ["".join(made.choice("etaoinshrdlu") for _ in range(made.randint(2, 8))) for _ in range(3000)]
+    wide = ["".join(made.choice("абвгдежзийклмноп") for _ in range(made.randint(2, 8))) for _ in range(3000)]
+    rows = []
+    for i in range(1600):
+        pool = wide if i % 4 == 0 else words
+        # Half the words out of a few, in a random order: no window repeats much, the ratio falls.
+        junk = [word + "***" for word in pool[:120]] if i % 20 == 3 else None
+        n = made.randint(200, 280) if junk else made.randint(300, 420)  # as many bytes
+        rows.append((i, " ".join(made.choice(junk or pool) for _ in range(n))))
+    return rows
+
+
+def test_verdicts_by_definition(spark):
+    rows = planted_corpus()
+    source = odd(spark, [(i, text, "", "", 0, 0, 0, "") for i, text in rows])
+    found = {r.doc_id: (r.base_failed, r.kept) for r in compression.compression_rules(source).collect()}
+    assert found == plain_verdicts(rows)
+    junk = {i for i, _ in rows if i % 20 == 3}
+    passed = {i for i, (failed, _) in found.items() if not failed}
+    kept = {i for i, (_, keeps) in found.items() if keeps}
+    assert len(junk & passed) > 50 and not junk & kept  # the bands decide
+    assert len(kept) > 0.99 * (len(rows) - len(junk))
+    judge = compression.judge()
+    assert all(judge(text)[6] for i, text in rows if i in junk & passed)  # the fixed limits alone do not
+
+
 def test_repeated_windows_by_definition():
     made = random.Random(5)
     for _ in range(300):
