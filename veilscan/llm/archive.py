@@ -3,9 +3,9 @@
 An archive is a folder of two tables. `payloads` holds every distinct payload once under its
 SHA-256; `headers` holds the exact header block of every record with the digest of its
 payload. Reading recomputes the digests from the stored bytes and puts records together by
-joins on them. Only ids and digests are shuffled for finding repeats; a payload is shuffled
-once, by digest and page, so that a payload which a third of all pages share moves no more
-than the others.
+joins on them. Only ids and digests are shuffled for finding repeats; they are stored before they
+are joined, so that adaptive execution can split a digest which a third of all pages share. A
+payload is shuffled once, by digest and page, so that such a payload moves no more than others.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm.rows import column
+from veilscan.llm.rows import column, stored
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 NO_ID = 2**63 - 1
@@ -94,12 +94,17 @@ def write_archive(
         body.alias("payload"),
     ).withColumn("place", F.coalesce("page", F.lit(NO_ID)))
     named = rows.withColumn("digest", F.sha2("payload", 256))
-    seen = named.select(
-        "page", "place", "url", "digest",
-        F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"),
+    # Digests are taken once and stored. What is known of a digest is stored as well: joins of
+    # two plain exchanges can be split where a third of all pages have the same payload.
+    seen = stored(
+        named.select(
+            "page", "place", "url", "digest",
+            F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1"),
+        ),
+        "archive-digests",
     )
     first = seen.groupBy("digest").agg(F.min("place").alias("first_place"))
-    first = first.withColumnRenamed("digest", "first_digest")
+    first = stored(first.withColumnRenamed("digest", "first_digest"), "archive-firsts")
     same = F.col("digest") == F.col("first_digest")
 
     small = F.col("size") < least_bytes
