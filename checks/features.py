@@ -7,22 +7,39 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.oracles import ALL, CALL_FACTS, CATEGORY, CODE_REPORT, LINES, REPORT, mask, on_code, on_docs
+from checks.oracles import (
+    ALL,
+    CALL_FACTS,
+    CATEGORY,
+    CHARS,
+    CODE_REPORT,
+    HIDDEN_ROWS,
+    LINES,
+    REPORT,
+    RUNS,
+    UNICODE,
+    flat,
+    mask,
+    on_code,
+    on_docs,
+)
 from checks.planted import CODE_TEXT, TREE_KEPT, TREE_PATH, table
 from checks.queries import FLAT, REPORT as REPORTED, _streamed_code, code, conversations, docs, pages
 from veilscan.model import finding
 from veilscan.operators.facts_table import register_facts
 from veilscan.operators.patterns import pattern_detector
+from veilscan.operators.unicode import carrier_findings, char_findings
 from veilscan.plans import progress, reports
 from veilscan.plans.isolate import failures, python_detector
-from veilscan.plans.scan import detector_findings, explode_findings, scan, text_detectors
+from veilscan.plans.scan import detector_findings, explode_findings, scan, text_detectors, unsuppressed
 from veilscan.session import shared_folder
 from veilscan.sources import tree_source
 from veilscan.sources.cleaned_files import write_cleaned_files
 from veilscan.sources.decode import decode_sources
-from veilscan.sources.sinks import write_files, write_findings
+from veilscan.sources.sinks import stage, stage_bucketed, write_files, write_findings
 from veilscan.streaming.live import write_stream
 
+
 # Detectors that fail on some texts: a division by zero, and a function that gives up.
 def ratio_findings(text):
     ratio = F.lit(1000) / (F.length(text) % 7)
@@ -124,6 +141,22 @@ def cleaned_files(spark: SparkSession, folder: str) -> DataFrame:
     return held.select(below.alias("path"), F.col("length").alias("n_bytes"), F.md5("content").alias("digest"))
 
 
+BUCKETS = 16
+
+
+def stored_suppression(spark: SparkSession, folder: str) -> DataFrame:
+    """Suppression between stored findings tables in buckets; the join moves nothing."""
+    body = F.col("text")
+    found = stage(docs(spark, folder).select(
+        "doc_id", char_findings(body).alias("chars"), carrier_findings(body).alias("hidden")
+    ))
+    chars, hidden = (
+        stage_bucketed(detector_findings(found, "doc_id", F.col(c)), "doc_id", "line", buckets=BUCKETS)
+        for c in ("chars", "hidden")
+    )
+    return unsuppressed(chars, hidden, "doc_id").select("doc_id", *FLAT)
+
+
 def facts_in_sql(spark: SparkSession, folder: str) -> DataFrame:
     """Watched calls counted in SQL alone, by the table function."""
     register_facts(spark)
@@ -196,6 +229,7 @@ def registry():
         "stream_observed": stream_observed,
         "folder_drill_down": folder_drill_down,
         "cleaned_files": cleaned_files,
+        "stored_suppression": stored_suppression,
         "facts_in_sql": facts_in_sql,
         "source_tree_format": source_tree_format,
         "source_tree_stream": source_tree_stream,
@@ -267,6 +301,9 @@ def statements() -> dict[str, str]:
  (SELECT id, text, list_filter(string_split(text, ''), lambda c: {CATEGORY.replace('cp ', 'unicode(c) ')} IS NULL) AS kept FROM planted))
  WHERE changed""", table="pages",
         ),
+        "stored_suppression": on_docs(
+            flat("kept", "kind", "severity", "title_key", "rec_key", "col"), LINES, CHARS, RUNS, HIDDEN_ROWS, UNICODE
+        ),
         "facts_in_sql": on_code(CALL_FACTS),
         "source_tree_format": on_code(
             f"""SELECT {TREE_PATH} AS path, 'utf-8' AS encoding, NULL::VARCHAR AS error, {', '.join(REPORTED)}

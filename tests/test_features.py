@@ -371,3 +371,17 @@ def test_six_detectors_on_every_table(spark, tables, name):
     five = explode_findings(scan(source[0](spark, tables), python_code=False)).count()
     sixth = [r for r in rows if r.detector == 5 or (r.detector == 4 and r.kind == "watermark" and r.detail.startswith("#"))]
     assert len(rows) == five + len(sixth)
+
+
+def test_bucketed_findings_join_in_place(spark, tables):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = features.stored_suppression(spark, tables)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        from checks.queries import suppressed_as_join
+
+        assert found.exceptAll(suppressed_as_join(spark, tables)).isEmpty() and found.count() > 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

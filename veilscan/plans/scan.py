@@ -143,6 +143,14 @@ def detector_findings(sources: DataFrame, key: str | list[str], found: Column) -
     )
 
 
+def unsuppressed(chars: DataFrame, hidden: DataFrame, *keys: str) -> DataFrame:
+    """Character findings on lines without a decoded payload, of two findings tables.
+
+    Stored in the same number of buckets by the keys and `line`, they are joined in place.
+    """
+    return chars.join(hidden, [*keys, "line"], "left_anti")
+
+
 def ordered_findings(findings: DataFrame, *keys: str) -> DataFrame:
     """Global report order of a findings table; only for a listing, not for the sink."""
     return findings.orderBy(
