@@ -24,7 +24,7 @@ from checks.oracles import (
     on_docs,
 )
 from checks.planted import CODE_TEXT, TREE_KEPT, TREE_PATH, table
-from checks.queries import FLAT, REPORT as REPORTED, _streamed_code, code, conversations, docs, pages
+from checks.queries import FLAT, REPORT as REPORTED, _streamed_code, code, conversations, dealt, docs, pages
 from veilscan.model import finding
 from veilscan.operators.facts_table import register_facts
 from veilscan.operators.patterns import pattern_detector
@@ -205,6 +205,35 @@ def source_tree_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out).select(below.alias("path"), F.col("size").alias("n_bytes"), "digest")
 
 
+# A program for every document: a statement for each of its words.
+DERIVED_WORDS = "regexp_extract_all(text, '[a-z]{{2,20}}'{0})"  # to be formatted
+
+
+def derived_programs(spark: SparkSession, folder: str) -> DataFrame:
+    """Code findings of programs made of the documents' words."""
+
+    def statement(word, i):
+        return (
+            F.when(i % 25 == 4, "import pickle")
+            .when(i % 5 == 0, F.concat(F.lit("w_"), word, F.lit(" = "), i.cast("string")))
+            .when(i % 5 == 1, F.concat(F.lit("requests.w_"), word, F.lit("(u)")))
+            .when(i % 5 == 2, F.concat(F.lit("os.system(w_"), word, F.lit(")")))
+            .when(i % 5 == 3, F.concat(F.lit("eval(w_"), word, F.lit(")")))
+            .otherwise(F.concat(F.lit("import w_"), word))
+        )
+
+    words = F.expr(DERIVED_WORDS.format(", 0"))
+    source = docs_as_given(spark, folder).select(
+        "doc_id", F.array_join(F.transform(words, statement), "\n").alias("text")
+    )
+    found = explode_findings(scan(source, detectors={}), "doc_id")
+    return found.select("doc_id", "seq", "kind", "severity", "title_key", "line", "detail")
+
+
+def docs_as_given(spark: SparkSession, folder: str) -> DataFrame:
+    return dealt(table(spark, folder, "documents"))
+
+
 def _without_message(found: DataFrame, *keys: str) -> DataFrame:
     """Parser messages differ between Python versions, so they are blanked."""
     detail = F.when(F.col("kind") != "parse_error", F.col("detail")).alias("detail")
@@ -229,6 +258,7 @@ def registry():
         "stream_observed": stream_observed,
         "folder_drill_down": folder_drill_down,
         "cleaned_files": cleaned_files,
+        "derived_programs": derived_programs,
         "stored_suppression": stored_suppression,
         "facts_in_sql": facts_in_sql,
         "source_tree_format": source_tree_format,
@@ -274,6 +304,28 @@ DRILL = f"""placed AS (SELECT *, string_split({FOLDER_PATH.format('VARCHAR').rep
   FROM foldered GROUP BY GROUPING SETS ({_SETS}))"""
 
 
+def _shown(items: str, most: int) -> str:
+    return f"array_to_string({items}[1:{most}], ', ') || CASE WHEN len({items}) > {most} THEN ' …' ELSE '' END"
+
+
+_STEPS = "list_filter(range(len(w)), lambda i: i % 5 = {0} AND i % 25 <> 4)"
+# What the statements of a program must give, without a look at the program.
+DERIVED = f"""WITH words AS (SELECT doc_id, {DERIVED_WORDS.format('')} AS w FROM documents),
+ steps AS (SELECT doc_id, w, {_STEPS.format(1)} AS calls, {_STEPS.format(2)} AS shells, {_STEPS.format(3)} AS evals FROM words),
+ made AS (SELECT *, list_sort(list_distinct(list_transform(calls, lambda i: 'requests.w_' || w[i + 1]))) AS labels,
+  list_transform(calls, lambda i: i + 1) AS call_lines, list_transform(shells, lambda i: i + 1) AS shell_lines FROM steps),
+ found AS (
+  SELECT doc_id, 1 AS part, 'dangerous_exec' AS kind, 'high' AS severity, 'finding.exec_dynamic' AS title_key,
+   i + 1 AS line, 'eval(w_' || w[i + 1] || ')' AS detail FROM (SELECT doc_id, w, unnest(evals) AS i FROM made)
+  UNION ALL SELECT doc_id, 2, 'sensitive_import', 'info', 'finding.sensitive_import', 5, 'pickle' FROM made WHERE len(w) > 4
+  UNION ALL SELECT doc_id, 3, 'network_call', 'info', 'finding.network_calls', call_lines[1],
+   '×' || len(calls) || ' · ' || {_shown('labels', 6)} || ' · @ ' || {_shown('call_lines', 10)} FROM made WHERE len(calls) > 0
+  UNION ALL SELECT doc_id, 4, 'shell_exec', 'medium', 'finding.shell_execs', shell_lines[1],
+   '×' || len(shells) || ' · os.system(...) · @ ' || {_shown('shell_lines', 10)} FROM made WHERE len(shells) > 0)
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part, line) - 1)::INTEGER AS seq, kind, severity, title_key,
+  line::INTEGER AS line, detail FROM found"""
+
+
 def statements() -> dict[str, str]:
     detail = mask("m")
     return {
@@ -301,6 +353,7 @@ def statements() -> dict[str, str]:
  (SELECT id, text, list_filter(string_split(text, ''), lambda c: {CATEGORY.replace('cp ', 'unicode(c) ')} IS NULL) AS kept FROM planted))
  WHERE changed""", table="pages",
         ),
+        "derived_programs": DERIVED,
         "stored_suppression": on_docs(
             flat("kept", "kind", "severity", "title_key", "rec_key", "col"), LINES, CHARS, RUNS, HIDDEN_ROWS, UNICODE
         ),
