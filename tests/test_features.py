@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import WriterCommitMessage
 
-from checks import features
+from checks import features, queries
+from checks.planted import PLANTED_TEXT
 from veilscan.functions.matching import newline_count
 from veilscan.model import finding
 from veilscan.operators.patterns import PatternTable, pattern_detector, required_literal
@@ -385,3 +386,12 @@ def test_bucketed_findings_join_in_place(spark, tables):
         assert found.exceptAll(suppressed_as_join(spark, tables)).isEmpty() and found.count() > 50
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_stream_of_a_table_in_several_files(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(48)], "doc_id bigint, text string")
+    for name in ("documents.parquet", "other.parquet"):
+        rows.repartition(3).write.parquet(f"{tmp_path}/{name}")
+    planted = rows.select("doc_id", F.expr(PLANTED_TEXT).alias("text"))
+    expected = explode_findings(scan(planted, python_code=False)).count()
+    assert queries.stream_scan(spark, str(tmp_path)).count() == expected > 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,10 +16,13 @@ from veilscan.session import shared_folder
 def stream_texts(
     spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet"
 ) -> DataFrame:
-    """New Parquet files of a folder, as they arrive."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
-    )
+    """New Parquet files of a folder, as they arrive, whether a table is a file or a folder of files.
+
+    The path is a pattern even if it names one table: a stream takes a plain path for a folder.
+    """
+    if not re.search(r"[\[{*?]", pattern):
+        pattern = f"{pattern[:-1]}[{pattern[-1]}]"
+    return spark.readStream.schema(schema).parquet(f"{folder}/{pattern}")
 
 
 def stream_findings(
