@@ -150,7 +150,9 @@ def emoji_rollup(spark, folder):
 
 def customers(spark, folder):
     domain = F.expr("lower(replace(c_name, '#', '-')) || '.test'")
-    return table(spark, folder, "customer").select(
+    # Rows are small and their marks are dear, and the table may come in a few large row groups.
+    spread = table(spark, folder, "customer").repartition(4 * spark.sparkContext.defaultParallelism)
+    return spread.select(
         "c_custkey", domain.alias("domain"), F.expr("'2026-01-' || lpad(cast(c_nationkey + 1 as string), 2, '0')").alias("date")
     )
 

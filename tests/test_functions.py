@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from checks.planted import ALPHABET, OWN_MARK, invisible
 from veilscan.functions import charclass, matching, stego
 from veilscan.functions.messages import format_message, localize, message
@@ -205,3 +206,16 @@ def test_python_path_names(spark):
     names = {"a.py": 1, "a.PYW": 1, "d/__init__.py": 1, ".h.py": 1, ".py": 0, "..py": 0, "d/...py": 0, "a.py\n": 0, "a.pyc": 0}
     rows = spark.createDataFrame(list(names.items()), "name string, wanted int")
     assert all(r.p == bool(r.wanted) for r in rows.select("wanted", is_python_path(F.col("name")).alias("p")).collect())
+
+
+def test_first_magic_payload_wins_and_marks_are_spread(spark, tmp_path):
+    shorter = invisible(OWN_MARK)
+    texts = [shorter, invisible("hello there, a longer text than that"), "\u200b" * 9, None]
+    got = column(spark, texts, "string", stego.decode_carrier)
+    assert [g and (g.payload, g.scheme) for g in got[:2]] == [(OWN_MARK, "v2_octal"), ("hello there, a longer text than that", "v2_octal")]
+    assert got[3] is None
+    rows = spark.range(50).selectExpr("id AS c_custkey", "'Customer#' || id AS c_name", "id % 25 AS c_nationkey")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    trip = queries.mark_round_trip(spark, str(tmp_path))
+    assert trip.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert trip.where("valid_checksum AND scheme = 'v2_octal'").count() == 50

@@ -77,26 +77,27 @@ def decode_carrier(carrier: Column, marks: MarkStyle = DEFAULT_MARKS) -> Column:
     A payload that starts with the magic word wins in scheme order, else the longest payload
     (the earlier scheme on a tie).
     """
-    decoded = F.transform(
-        F.expr(_SCHEME_TABLE),
-        lambda s: F.struct(
-            decode_scheme(carrier, s.alphabet, s.width).alias("payload"), s.scheme.alias("scheme")
+    kind = "struct<payload:string,scheme:string,magic:boolean>"
+
+    def better(best: Column, scheme: Column, payload: Column) -> Column:
+        magic = payload.startswith(marks.magic)
+        longer = best.isNull() | (F.length(payload) > F.length(best.payload))
+        found = F.struct(payload.alias("payload"), scheme.alias("scheme"), magic.alias("magic"))
+        readable = printable_ratio(payload) > MIN_PRINTABLE
+        return F.when(readable & (magic | longer), found).otherwise(best)
+
+    # The carrier is worked out once, and schemes behind a payload with the magic word never.
+    return let(
+        carrier,
+        lambda given: F.aggregate(
+            F.expr(_SCHEME_TABLE),
+            F.lit(None).cast(kind),
+            lambda best, s: F.when(best.magic, best).otherwise(
+                let(decode_scheme(given, s.alphabet, s.width), lambda p: better(best, s.scheme, p))
+            ),
+            lambda best: F.when(best.isNotNull(), F.struct(best.payload.alias("payload"), best.scheme.alias("scheme"))),
         ),
     )
-    readable = F.filter(decoded, lambda c: printable_ratio(c.payload) > MIN_PRINTABLE)
-
-    def pick(options: Column) -> Column:
-        magic = F.get(F.filter(options, lambda c: c.payload.startswith(marks.magic)), F.lit(0))
-        longest = F.aggregate(
-            options,
-            F.lit(None).cast("struct<payload:string,scheme:string>"),
-            lambda best, c: F.when(
-                best.isNull() | (F.length(c.payload) > F.length(best.payload)), c
-            ).otherwise(best),
-        )
-        return F.coalesce(magic, longest)
-
-    return let(readable, pick)
 
 
 def mark_checksum(base: Column) -> Column:
