@@ -14,6 +14,7 @@ from checks import features, queries
 from checks.planted import PLANTED_TEXT
 from veilscan.functions.matching import newline_count
 from veilscan.model import finding
+from veilscan.operators import facts_table, pycode
 from veilscan.operators.patterns import PatternTable, pattern_detector, required_literal
 from veilscan.operators.secrets import SECRET_PATTERNS, token_findings
 from veilscan.plans import progress
@@ -395,3 +396,14 @@ def test_stream_of_a_table_in_several_files(spark, tmp_path):
     planted = rows.select("doc_id", F.expr(PLANTED_TEXT).alias("text"))
     expected = explode_findings(scan(planted, python_code=False)).count()
     assert queries.stream_scan(spark, str(tmp_path)).count() == expected > 0
+
+
+def test_facts_without_a_needless_look(monkeypatch):
+    def forbidden(*_):
+        raise AssertionError("tokenized or unparsed for nothing")
+
+    monkeypatch.setattr(pycode, "_comments", forbidden)
+    monkeypatch.setattr(pycode.ast, "unparse", forbidden)
+    rows = list(facts_table.fact_rows("import pickle\neval(x, y)\ncompile()"))
+    assert [(r[0], r[1], r[9] if r[0] == "import" else r[8]) for r in rows][:2] == [("call", 2, False), ("call", 3, False)]
+    assert [r[9] for r in rows] == ["eval(x, y)", "compile()", None] and rows[2][3] == "pickle"

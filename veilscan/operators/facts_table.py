@@ -5,13 +5,13 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from veilscan.operators.pycode import _facts
+from veilscan.operators.pycode import text_facts
 
 FACT_COLUMNS = (
     "fact string, line int, name string, root string, label string, bare boolean, "
@@ -21,17 +21,19 @@ FACT_COLUMNS = (
 
 def fact_rows(text: str | None) -> Iterator[tuple]:
     """Rows of `FACT_COLUMNS`: calls, imports, comments, then what kept a text from being read."""
-    found = _facts(pa.array([text], pa.string()), pa.array([True]))[0].as_py()
-    if found is None:
+    if text is None:
         return
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        found = text_facts(text, True)
     for call in found["calls"]:
         names = ("line", "name", "root", "label", "bare", "nonliteral", "decoder", "shell", "snippet")
         yield ("call", *map(call.get, names))
     rest = [("import", x["line"], x["root"], None) for x in found["imports"]]
     rest += [("comment", x["line"], None, x["text"]) for x in found["comments"]]
-    if found["syntax_error"] is not None:
+    if found.get("syntax_error") is not None:
         rest.append(("syntax_error", found["syntax_line"], None, found["syntax_error"]))
-    if found["failure"] is not None:
+    if found.get("failure") is not None:
         rest.append(("failure", None, None, found["failure"]))
     for fact, line, root, detail in rest:
         yield (fact, line, None, root, None, None, None, None, None, detail)
