@@ -112,3 +112,15 @@ def test_tree(spark, tmp_path):
     assert [r.path for r in read_tree(spark, one).collect()] == [one]
     assert list_tree(spark, str(tmp_path / "pkg/venv")).count() == 0
     assert list_tree(spark, str(tmp_path / "missing")).count() == 0
+
+
+def test_blocks_are_rendered_behind_the_sort(spark):
+    from veilscan.plans import render
+
+    rows = spark.createDataFrame([("b.py", "utf-8", "eval(x)"), ("a.py", "utf-8", "y = 1")], "path string, encoding string, text string")
+    scanned = stage(scan(rows))
+    for listing in (render.html_cards, render.text_report, render.console_listing):
+        found = listing(scanned, "en")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "badge" in plan.partition("Sort")[0] or "severity" in plan.partition("Sort")[0]
+        assert [r.path for r in found.collect() if r.path] == ["b.py", "a.py"]

@@ -153,13 +153,18 @@ def _footer(lang: str, counters: list[tuple[str, str]]) -> Column:
 
 
 def _listing(scanned: DataFrame, block: Column, head: str, foot: Column) -> DataFrame:
-    """Header, blocks in report order and footer as rows `(part, max_rank, path, value)`."""
+    """Header, blocks in report order and footer as rows `(part, max_rank, path, value)`.
+
+    Blocks are rendered behind the sort, whose sampling would otherwise render them once more.
+    """
     reports = with_report(scanned)
-    blocks = reports.select(F.lit(1).alias("part"), "max_rank", "path", block.alias("value"))
+    blocks = reports.select(F.lit(1).alias("part"), "max_rank", "path", "encoding", "status", "findings")
     edge = [F.lit(0).alias("max_rank"), F.lit("").alias("path")]
     top = scanned.sparkSession.range(1).select(F.lit(0).alias("part"), *edge, F.lit(head).alias("value"))
     bottom = corpus_report(reports).select(F.lit(2).alias("part"), *edge, foot.alias("value"))
-    return top.unionByName(blocks).unionByName(bottom).orderBy("part", F.desc("max_rank"), "path")
+    rows = top.unionByName(blocks, allowMissingColumns=True).unionByName(bottom, allowMissingColumns=True)
+    value = F.when(F.col("part") == 1, block).otherwise(F.col("value"))
+    return rows.orderBy("part", F.desc("max_rank"), "path").select("part", "max_rank", "path", value.alias("value"))
 
 
 def _title(title: str, lang: str) -> list[str]:
@@ -201,9 +206,6 @@ def console_listing(
 
 
 def html_cards(scanned: DataFrame, lang: str = DEFAULT_LANGUAGE) -> DataFrame:
-    """One HTML fragment per source, in report order."""
-    return (
-        with_report(scanned)
-        .select("path", "max_rank", html_card(lang).alias("value"))
-        .orderBy(F.desc("max_rank"), "path")
-    )
+    """One HTML fragment per source, in report order; rendered behind the sort."""
+    ordered = with_report(scanned).orderBy(F.desc("max_rank"), "path")
+    return ordered.select("path", "max_rank", html_card(lang).alias("value"))
