@@ -8,7 +8,7 @@ from veilscan import explode_findings, ordered_findings, scan
 from veilscan.plans.render import text_report
 from veilscan.plans.reports import by_severity, with_report
 from veilscan.sources.decode import decode_sources
-from veilscan.sources.sinks import write_cleaned, write_findings, write_text_report
+from veilscan.sources.sinks import stage, write_cleaned, write_findings, write_text_report
 from veilscan.sources.tree import by_path, list_tree, read_tree
 
 RANKS = {"info": 0, "low": 1, "medium": 2, "high": 3, "critical": 4}
