@@ -4,7 +4,7 @@ import random
 
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from helpers import empty, odd, odd_rows
 from test_tokens import fuzz
@@ -124,3 +124,36 @@ def test_documents(spark, monkeypatch):
     expected = [(r[0], *pair) for r, pair in zip(rows, library_rows([r[1] for r in rows]))]
     assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, expected))
     assert automaton.encode_documents(empty(spark), PATH).count() == 0
+
+
+def test_common_characters_as_the_library_takes_them():
+    """Every character that does without the library's steps, alone, in a word and between words."""
+    mine = automaton.Coder(PATH)
+    common = [*map(chr, range(0x250)), *map(chr, [*range(0x2010, 0x2028), 0x250, 0x301, 0x2000, 0x3000, 0xFB01])]
+    texts = [form.format(c) for c in common for form in ("{0}", "Ab{0}cD", "e{0} x", "x {0}.;{0}, y{0}'s", "{0}{0} I{0}E,")]
+    texts += ["".join(pair) for pair in zip(common, reversed(common))]
+    for text, (ids, _) in zip(texts, library_rows(texts)):
+        assert list(memoryview(mine.encode(text)).cast("I")) == ids, repr(text)
+
+
+def test_words_of_letters_are_not_given_to_the_library(monkeypatch):
+    mine, given = automaton.Coder(PATH), []
+    for step in ("_split", "_normalize"):
+        taken = getattr(mine, step)
+        monkeypatch.setattr(mine, step, lambda part, taken=taken: given.append(part) or taken(part))
+    made = random.Random(6)
+    words = ["".join(made.choices("etaoinshrdluéüñ", k=made.randint(2, 12))) for _ in range(2000)]
+    text = " ".join(word.title() + made.choice(["", ",", "."]) for word in words)
+    [(ids, _)] = library_rows([text])
+    assert list(memoryview(mine.encode(text)).cast("I")) == ids
+    assert set(given) <= {",", "."}
+
+
+def test_another_normalizer_is_left_to_the_library(tmp_path):
+    library = Tokenizer.from_file(PATH)
+    library.normalizer = normalizers.Sequence([normalizers.NFD(), normalizers.StripAccents(), normalizers.Lowercase()])
+    library.save(str(tmp_path / "other.json"))
+    mine = automaton.Coder(str(tmp_path / "other.json"))
+    for text in ["Cr\u00e8me Br\u00fbl\u00e9e, e\u0301.", "plain Words"]:
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert list(memoryview(mine.encode(text)).cast("I")) == expected

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,23 +30,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
-from veilscan.llm.rows import Cache, column, per_worker
+from veilscan.llm.rows import LAST_LATIN, SIGNS, Cache, column, latin_letters, per_worker
 
 CACHED_CHARS = 10_000_000  # of the words that a worker remembers
 TABLE_ENTRIES = 2_000_000  # of the table of transitions that a worker keeps
 BATCH_BYTES = 8 << 20  # of results that are passed on together
 NEVER = 1 << 30
+START = -1  # before the first label of a word
+# Steps of the library that texts of common characters need not be given to (fixed values).
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+BLANKS = "\t\n\x0b\x0c\r\x85\xa0"  # white space of the library up to LAST_LATIN, without the space
+# Other than Latin letters, signs, quotes and dashes, which composing leaves as they are.
+CHANGING = re.compile(f"[^\0-{LAST_LATIN}\u2010-\u2027]")
 
 
 class TokenAutomaton:
     """States and arcs by label; a label is the number of a symbol or of a merged token."""
 
     def __init__(self, n_labels: int):
-        self._n = n_labels
+        self.n_labels = n_labels
         self._born = [-1] * n_labels  # the gadget that made a label; -1 for symbols
         self._parts = [(-1, -1)] * n_labels
         self._closed: dict[int, int] = {}  # (a, b) as one number: the gadget that took b from a
-        self._table: dict[int, bool] = {}
+        self.table: dict[int, bool] = {}  # what `allows` found, by both labels as one number
         self._gadgets = 0
 
     def add_gadget(self, a: int, b: int, w: int) -> bool:
@@ -58,14 +84,14 @@ class TokenAutomaton:
             return False
         self._born[w] = step
         self._parts[w] = (a, b)
-        self._closed[a * self._n + b] = step
+        self._closed[a * self.n_labels + b] = step
         return True
 
     def _arc(self, u: int, t: int, step: int) -> bool:
         """Whether arc `t` leaves the target of `u` before gadget number `step`."""
         born, parts = self._born, self._parts
         while True:
-            if self._closed.get(u * self._n + t, NEVER) < step:
+            if self._closed.get(u * self.n_labels + t, NEVER) < step:
                 return False
             if born[u] < 0 and born[t] < 0:
                 return True
@@ -78,12 +104,12 @@ class TokenAutomaton:
 
     def allows(self, u: int, t: int) -> bool:
         """Whether label `t` may follow label `u`, all gadgets applied."""
-        entry = u * self._n + t
-        found = self._table.get(entry)
+        entry = u * self.n_labels + t
+        found = self.table.get(entry)
         if found is None:
-            if len(self._table) >= TABLE_ENTRIES:
-                self._table.clear()
-            found = self._table[entry] = self._arc(u, t, NEVER)
+            if len(self.table) >= TABLE_ENTRIES:
+                self.table.clear()
+            found = self.table[entry] = self._arc(u, t, NEVER)
         return found
 
 
@@ -103,30 +129,18 @@ class WordCoder:
             live = a in usable and b in usable
             numbers = vocabulary[a], vocabulary[b], vocabulary[a + b]
             (usable if live and self.automaton.add_gadget(*numbers) else idle).add(a + b)
-        # A node: nodes by character, the label that ends here, and the label that ends a word here.
-        self._root: list = [{}, -1, -1]
-        for token in usable:
-            last = bool(suffix) and token.endswith(suffix)
+        # A node: nodes by character, and the labels with their lengths on the way to it.
+        self._root: tuple[dict, list] = ({}, [])
+        self._closing = {t[: len(t) - len(suffix)]: vocabulary[t] for t in usable if t.endswith(suffix)}
+        inside = [t for t in usable if t and not (suffix and t.endswith(suffix))]
+        for token in sorted(inside, key=len):
             node = self._root
-            for ch in token[: len(token) - len(suffix)] if last else token:
-                node = node[0].setdefault(ch, [{}, -1, -1])
-            node[1 + last] = vocabulary[token]
-        self._closing = 2 if suffix else 1
-        self._whole = {t[: len(t) - len(suffix)]: vocabulary[t] for t in usable if t.endswith(suffix)}
-
-    def _labels_at(self, word: str, i: int) -> list[tuple[int, int]]:
-        """Labels that begin at a position, short ones first, and the positions behind them."""
-        found, node, last = [], self._root, len(word) - 1
-        for j in range(i, last):
-            node = node[0].get(word[j])
-            if node is None:
-                return found
-            if node[1] >= 0:
-                found.append((node[1], j + 1))
-        node = node[0].get(word[last])
-        if node is not None and node[self._closing] >= 0:
-            found.append((node[self._closing], last + 1))
-        return found
+            for ch in token:
+                # Short tokens come first, so what lies before a new node is complete.
+                node = node[0].get(ch) or node[0].setdefault(ch, ({}, node[1][:]))
+            node[1].append((vocabulary[token], len(token)))
+        self._longest = max(map(len, inside), default=0)
+        self._longest_closing = max(map(len, self._closing), default=0)
 
     def encode(self, word: str) -> list[int]:
         """Ids of one word, which must not be empty.
@@ -134,28 +148,48 @@ class WordCoder:
         A position is reached by one sequence at most, so the walk, long labels first, comes to
         each position once, whatever it has to take back.
         """
-        whole = self._whole.get(word)
+        whole = self._closing.get(word)
         if whole is not None:
             return [whole]
-        n, allows = len(word), self.automaton.allows
+        closing, allows = self._closing.get, self.automaton.allows
+        root, longest, last = self._root, self._longest, len(word) - 1
+        may_close = len(word) - self._longest_closing
+        known, n_labels = self.automaton.table.get, self.automaton.n_labels
         ids: list[int] = []
-        left: list[list[tuple[int, int]]] = []
-        options = self._labels_at(word, 0)
+        left: list[tuple[int, list, int]] = []  # where a label was taken, and how many are untried
+        i, before = 0, START
         while True:
-            if not options:
-                if not ids:
-                    raise ValueError("a word with a character that the vocabulary does not have")
-                ids.pop()
-                options = left.pop()
-                continue
-            t, end = options.pop()
-            if ids and not allows(ids[-1], t):
-                continue
+            if i >= may_close:
+                t = closing(word[i:])
+                if t is not None and (i == 0 or allows(before, t)):
+                    ids.append(t)
+                    return ids
+            below, options = root
+            for ch in word[i : min(i + longest, last)]:
+                node = below.get(ch)
+                if node is None:
+                    break
+                below, options = node
+            untried = len(options)
+            while True:
+                if not untried:
+                    if not ids:
+                        raise ValueError("a word with a character that the vocabulary does not have")
+                    ids.pop()
+                    before = ids[-1] if ids else START
+                    i, options, untried = left.pop()
+                    continue
+                untried -= 1
+                t, size = options[untried]
+                if before == START:
+                    break
+                allowed = known(before * n_labels + t)
+                if allowed or allowed is None and allows(before, t):
+                    break
+            left.append((i, options, untried))
             ids.append(t)
-            if end == n:
-                return ids
-            left.append(options)
-            options = self._labels_at(word, end)
+            before = t
+            i += size
 
 
 class Coder:
@@ -182,21 +216,50 @@ class Coder:
         library = Tokenizer.from_file(path)
         self._normalize = library.normalizer.normalize_str
         self._split = library.pre_tokenizer.pre_tokenize_str
+        self._usual = (spec["normalizer"], spec["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
         longest_first = sorted(map(re.escape, self._special), key=len, reverse=True)
         self._marks = re.compile("(" + "|".join(longest_first) + ")") if added else None
         self._known = Cache(cached_chars, twice=False)
 
-    def _plain(self, text: str) -> Iterator[bytes]:
-        """Ids of a text without special tokens; no word holds a space."""
-        known = self._known.values.get
-        for chunk in self._normalize(text).split(" "):
-            ids = known(chunk)
-            if ids is None:
-                found = [i for piece, _ in self._split(chunk) for i in self.words.encode(piece)]
-                ids = np.array(found, "<u4").tobytes()
+    def _chunks(self, text: str) -> list[str]:
+        """The normalised text, split at spaces."""
+        if not self._usual or not text.isascii() and CHANGING.search(text):
+            return self._normalize(text).split(" ")
+        text = text.lower()
+        for blank in BLANKS:
+            if blank in text:
+                text = text.replace(blank, " ")
+        return text.split(" ")
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of what stands between two spaces."""
+        ids = self._known.values.get(chunk)
+        if ids is not None:
+            return ids
+        word = latin_letters(chunk) if self._usual else None
+        if word is not None:
+            found = self.words.encode(word)
+        else:
+            bare = chunk.rstrip(SIGNS) if self._usual else chunk
+            if bare != chunk and bare[-1:].isalpha() and bare[-1] <= LAST_LATIN:
+                # A sign behind a letter begins a piece of its own, the same after any word.
+                ids = self._chunk(bare) + self._chunk(chunk[len(bare) :])
                 self._known.offer(chunk, ids)
-                known = self._known.values.get
-            yield ids
+                return ids
+            found = [i for piece, _ in self._split(chunk) for i in self.words.encode(piece)]
+        ids = struct.pack(f"<{len(found)}I", *found)
+        self._known.offer(chunk, ids)
+        return ids
+
+    def _plain(self, text: str) -> list[bytes]:
+        """Ids of a text without special tokens; no word holds a space."""
+        chunks = self._chunks(text)
+        parts = list(map(self._known.values.get, chunks))
+        if None in parts:
+            for i, part in enumerate(parts):
+                if part is None:
+                    parts[i] = self._chunk(chunks[i])
+        return parts
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""

@@ -27,6 +27,31 @@ OTHER_BLANKS = (
     "\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 )
 
+SIGNS = ".,;:!?"
+LAST_LATIN = "\u024f"
+
+
+def byte_signs() -> dict[int, str]:
+    """The sign of every byte in byte-level vocabularies, as a table for `str.translate`."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(0x100) if b not in plain]
+    return {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+BYTE_SIGNS = byte_signs()
+
+
+def latin_letters(word: str) -> str | None:
+    """A word of Latin letters alone as byte-level vocabularies write it; None for others.
+
+    Patterns that split at what is no letter leave such a word whole.
+    """
+    if not word.isalpha():
+        return None
+    if word.isascii():
+        return word
+    return word.encode().decode("latin-1").translate(BYTE_SIGNS) if max(word) <= LAST_LATIN else None
+
 
 def words_apart(text: str) -> bool:
     """Whether every space of a text stands between two characters that are not white space.

@@ -26,14 +26,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilscan.llm.rows import Cache, column, per_worker, words_apart
+from veilscan.llm.rows import LAST_LATIN, SIGNS, Cache, column, per_worker, words_apart
 
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256
 BLOCK_IDS = 1 << 20  # ids that a reader holds at a time
 CACHED_CHARS = 16_000_000  # of the words that a worker remembers
-SIGNS = ".,;:!?"
-LAST_LATIN = "\u024f"
 SPACE_SIGN = "\u0120"  # how byte-level vocabularies write a space
 SEQUENCE = "<QqBQQ"
 TRAILER = "<QQQB8s"
