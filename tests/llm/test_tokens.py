@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from helpers import empty, odd, odd_rows
 from veilscan.llm import bpe, counts, rows, token_files
@@ -150,3 +150,36 @@ def test_counted_documents(spark):
         n = len(library.encode(r[1] or ""))
         expected.append((str(r[0]), len((r[1] or "").encode()), n, n > 100))
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in found) == sorted(expected)
+
+
+def test_words_and_lines_as_the_library_takes_them():
+    """Every common character and white space, alone, in a word, before signs and beside a line end."""
+    mine = token_files.LibraryEncoder(LIBRARY)
+    library = Tokenizer.from_file(LIBRARY)
+    common = [chr(c) for c in [*range(0x250), *range(0x2000, 0x2030), 0x250, 0x301, 0x3000, 0x4E00, 0xFEFF]]
+    forms = ["a Ab{0}cD", "a x.\n{0}y", "a {0}\nY'{0}s.", "a x{0}\n\ny {0}.,", "a \n{0} b", "a b\n{0}\n'll,\nI''s b{0}"]
+    texts = [form.format(c) for c in common for form in forms]
+    for text in texts * 2:
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert mine.encode(text).tolist() == expected, repr(text)
+
+
+def test_words_and_line_starts_of_letters_go_to_the_model_at_once(monkeypatch):
+    mine, given = token_files.LibraryEncoder(LIBRARY), []
+    taken = mine._plain
+    monkeypatch.setattr(mine, "_plain", lambda text: given.append(text) or taken(text))
+    made = random.Random(7)
+    words = ["".join(made.choices("etaoinshrdluéüñ", k=made.randint(2, 12))) for _ in range(2000)]
+    text = "".join(word + made.choice([" ", ", ", ".\n", "*** "]) for word in words) + "end"
+    expected = Tokenizer.from_file(LIBRARY).encode(text, add_special_tokens=False).ids
+    assert mine.encode(text).tolist() == expected
+    assert set(given) <= {",", ".", "***", "\n"}
+
+
+def test_another_splitting_is_left_to_the_library(tmp_path):
+    library = Tokenizer.from_file(LIBRARY)
+    library.normalizer = normalizers.Lowercase()
+    library.save(str(tmp_path / "other.json"))
+    mine = token_files.LibraryEncoder(str(tmp_path / "other.json"))
+    text = "Some Words, and\nOther Words"
+    assert mine.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import sys
 import types
 import uuid
@@ -27,7 +28,7 @@ OTHER_BLANKS = (
     "\u2007\u2008\u2009\u200a\u200b\u200c\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 )
 
-SIGNS = ".,;:!?"
+SIGNS = string.punctuation  # no letters, digits or white space in any pattern
 LAST_LATIN = "\u024f"
 
 

@@ -13,7 +13,9 @@ a lost attempt is in no manifest and is never read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -26,13 +28,25 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilscan.llm.rows import LAST_LATIN, SIGNS, Cache, column, per_worker, words_apart
+from veilscan.llm.rows import (
+    LAST_LATIN,
+    OTHER_BLANKS,
+    SIGNS,
+    Cache,
+    column,
+    latin_letters,
+    per_worker,
+    words_apart,
+)
 
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256
 BLOCK_IDS = 1 << 20  # ids that a reader holds at a time
 CACHED_CHARS = 16_000_000  # of the words that a worker remembers
 SPACE_SIGN = "\u0120"  # how byte-level vocabularies write a space
+TWO_BLANKS = re.compile(f"[{OTHER_BLANKS}]{{2}}")
+# The step before the model that leaves a space and the letters behind it whole (fixed values).
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 SEQUENCE = "<QqBQQ"
 TRAILER = "<QQQB8s"
 
@@ -224,7 +238,9 @@ class LibraryEncoder:
 
     The vocabulary splits before every space that stands alone, so where no two blanks meet
     the library may encode the words of a text one by one, or new ones in any order, beside
-    each other. A token that begins with a space then begins a word.
+    each other. A token that begins with a space then begins a word. Where the steps before the
+    model are known, words of Latin letters go to the library's model at once, and a line end that
+    stands alone is a piece of its own.
     """
 
     def __init__(self, path: str):
@@ -233,6 +249,11 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        steps = [spec.get(x) for x in ("normalizer", "truncation", "padding", "pre_tokenizer")]
+        self._usual = steps == [None, None, None, PRE_TOKENIZER]
+        self._merge = self._library.model.tokenize
         self._special = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self.n_ids = self._library.get_vocab_size(with_added_tokens=True)
         self._begins = np.zeros(self.n_ids, bool)
@@ -245,6 +266,22 @@ class LibraryEncoder:
         found = self._library.encode_batch_fast([text], add_special_tokens=False)
         return np.array(found[0].ids, "<u4")
 
+    def _merged(self, word: str) -> bytes:
+        """Ids of a word that the steps before the model leave whole."""
+        ids = [token.id for token in self._merge(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _letters(self, word: str) -> bytes | None:
+        """Ids of a word of Latin letters behind a space; None for others."""
+        letters = latin_letters(word) if self._usual else None
+        if letters is None:
+            return None
+        ids = self._words.values.get(word)
+        if ids is None:
+            ids = self._merged(SPACE_SIGN + letters)
+            self._words.offer(word, ids)
+        return ids
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words, each behind a space, from one call of the library."""
         if not words:
@@ -257,41 +294,73 @@ class LibraryEncoder:
         ends = [*starts[1:], len(ids)]
         return {w: data[4 * a : 4 * b] for w, a, b in zip(words, starts, ends)}
 
+    def _lines(self, word: str) -> list[str]:
+        """What stands between the line ends of a word, if each is a piece of its own."""
+        if "\n" not in word or not self._usual or TWO_BLANKS.search(word) or "\n" in (word[0], word[-1]):
+            return [word]
+        return word.split("\n")
+
+    @staticmethod
+    def _bare(word: str) -> str:
+        """A word without its last signs, if they are a piece of their own."""
+        # A sign behind a letter begins one, the same after any word.
+        bare = word.rstrip(SIGNS)
+        return bare if bare[-1:].isalpha() and bare[-1] <= LAST_LATIN else word
+
     def _found(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that are not remembered, each behind a space."""
-        # A sign behind a letter begins a piece of its own, the same after any word.
-        signed = {}
-        for word in words:
-            bare = word.rstrip(SIGNS)
-            if bare != word and bare[-1:].isalpha() and bare[-1] <= LAST_LATIN:
-                signed[word] = bare
-        known, offer = self._words.values, self._words.offer
-        bare = words.difference(signed).union(signed.values())
-        found = {word: known[word] for word in bare if word in known}
-        learned = self._learn([word for word in bare if word not in found])
+        known, offer = self._words.values.get, self._words.offer
+        lines = {word: self._lines(word) for word in words if "\n" in word}
+        plain = words.difference(lines).union(parts[0] for parts in lines.values())
+        bare = {word: self._bare(word) for word in plain}
+        found, others = {}, []
+        for word in set(bare.values()):
+            ids = self._letters(word) or known(word)
+            if ids is None:
+                others.append(word)
+            else:
+                found[word] = ids
+        learned = self._learn(others)
         found.update(learned)
-        for word, start in signed.items():
-            found[word] = ids = found[start] + self._alone(word[len(start) :])
-            offer(word, ids)
+        for word, start in bare.items():
+            if word != start:
+                found[word] = ids = found[start] + self._alone(word[len(start) :])
+                offer(word, ids)
         for word, ids in learned.items():
             offer(word, ids)
+        for word, (first, *others) in lines.items():
+            parts = [found[first]]
+            for part in others:
+                parts += self._alone("\n"), self._start(part)
+            found[word] = b"".join(parts)
         return found
 
     def _alone(self, start: str) -> bytes:
         """Ids of a word without a space in front, or of signs."""
         ids = self._starts.values.get(start)
         if ids is None:
-            ids = self._plain(start).tobytes()
+            letters = latin_letters(start) if self._usual else None
+            ids = self._plain(start).tobytes() if letters is None else self._merged(letters)
             self._starts.offer(start, ids)
         return ids
 
+    def _start(self, word: str) -> bytes:
+        """Ids of a word without a space in front and with signs behind it."""
+        bare = self._bare(word)
+        return self._alone(word) if bare == word else self._alone(bare) + self._alone(word[len(bare) :])
+
     def encode(self, text: str) -> np.ndarray:
         if not words_apart(text) or any(s in text for s in self._special):
             return self._plain(text)
         first, *words = text.split(" ")
         parts = list(map(self._words.values.get, words))
         if None in parts:
-            places = [i for i, part in enumerate(parts) if part is None]
+            places = []
+            for i, part in enumerate(parts):
+                if part is None:
+                    parts[i] = part = self._letters(words[i])
+                    if part is None:
+                        places.append(i)
             found = self._found({words[i] for i in places})
             for i in places:
                 parts[i] = found[words[i]]
